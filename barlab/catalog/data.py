@@ -59,10 +59,10 @@ def predictions(bars: DataFrame, models: int = 3) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
-    """One closed trade per order and return flag: strategy, trade number, day, and profit or loss."""
-    cents = F.round(F.col("l_extendedprice") * 100 * (F.round(F.col("l_discount") * 100) - F.round(F.col("l_tax") * 100)) / 100).cast("bigint")
+    """One closed trade per order and return flag: strategy, trade number, day, profit or loss (exact 1/10000)."""
+    units = (F.round(F.col("l_extendedprice") * 100) * (F.round(F.col("l_discount") * 100) - F.round(F.col("l_tax") * 100))).cast("bigint")
     return (table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("strategy_id"), F.col("l_orderkey").alias("trade_no"))
-            .agg((F.sum(cents) / 100).alias("pnl"), F.to_date(F.max("l_shipdate")).alias("day")))
+            .agg((F.sum(units) / 10000.0).alias("pnl"), F.to_date(F.max("l_shipdate")).alias("day")))
 
 
 def fixed(col, dp: int = 4):

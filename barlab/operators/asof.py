@@ -7,50 +7,51 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.core.blocks import IDX, lag, rows, running
+from barlab.core.blocks import lag, rows, running
 from barlab.core.steps import Step, with_indicators
 from barlab.operators.indicators import atr, sma
 from barlab.sources.bars import TIMEFRAME_SECONDS, indexed, resample
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], cols: Sequence[str], block_seconds: int,
-              left_ts: str = "ts", right_ts: str = "ts") -> DataFrame:
-    """For each left row the ``cols`` of the latest right row with the same key and ``right_ts <= left_ts``.
+def asof_join(left: DataFrame, rights: Sequence[tuple[DataFrame, Sequence[str]]], key: Sequence[str], block_seconds: int,
+              ts: str = "ts", skip_nulls: bool = False) -> DataFrame:
+    """For each left row the columns of the latest row of every right side with the same key and time <= its own.
 
-    Both sides are stacked and the last right row is carried forward, first inside time blocks, then over one
-    row per block. No side is broadcast and no pair is formed. Left rows that share key and time are allowed.
+    ``rights`` lists (frame, columns). All sides are stacked once and the last right rows are carried forward,
+    first inside time blocks, then over one row per block. No side is broadcast and no pair is formed.
+    ``skip_nulls`` carries the last known value of each column instead of the last row.
     """
-    key, cols = list(key), list(cols)
-    packed = F.struct(*[F.col(c) for c in cols])
-    stacked_right = right.select(*key, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), packed.alias("_r"))
-    stacked = (left.withColumns({"_t": F.col(left_ts), "_side": F.lit(1), "_r": F.lit(None).cast(stacked_right.schema["_r"].dataType)})
-               .unionByName(stacked_right, allowMissingColumns=True)
-               .withColumn("_tb", F.floor(F.unix_timestamp("_t") / block_seconds)))
-    joined = running(stacked, key, "_tb", ["_t", "_side"], {"_m": ("last", F.col("_r"))})
-    return joined.filter("_side = 1").select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in cols])
-
-
-def higher_timeframe_features(base: DataFrame, timeframes: dict[str, DataFrame], anchor: str = "prev", fill: bool = True) -> DataFrame:
-    """Trend (SMA5/SMA20-1) and volatility (ATR14/close) of higher timeframes on the base bars.
+    key = list(key)
+    stacked = left.withColumns({"_t": F.col(ts), "_side": F.lit(1)})
+    aggs, outputs = {}, []
+    for n, (right, cols) in enumerate(rights):
+        packed = F.struct(*[F.col(c) for c in cols]).alias(f"_r{n}")
+        stacked = stacked.unionByName(right.select(*key, F.col(ts).alias("_t"), F.lit(0).alias("_side"), packed), allowMissingColumns=True)
+        for c in cols if skip_nulls else [None]:
+            name = f"_m{n}_{c}" if c else f"_m{n}"
+            aggs[name] = ("last", F.col(f"_r{n}.{c}") if c else F.col(f"_r{n}"))
+            outputs += [F.col(name).alias(c)] if c else [F.col(f"{name}.{x}").alias(x) for x in cols]
+    stacked = stacked.withColumn("_tb", F.floor(F.unix_timestamp("_t") / block_seconds))
+    joined = running(stacked, key, "_tb", ["_t", "_side"], aggs)
+    return joined.filter("_side = 1").select(*left.columns, *outputs)
+
+
+def higher_timeframe_features(base: DataFrame, timeframes: dict[str, DataFrame], anchor: str = "prev") -> DataFrame:
+    """Trend (SMA5/SMA20-1) and volatility (ATR14/close) of higher timeframes on the base bars, carried forward.
 
     ``timeframes`` maps a name such as ``H4`` to indexed bars. ``anchor="current"`` matches the open bar of the
     higher timeframe, which is still forming; ``"prev"`` only uses finished bars.
     """
-    out = base
+    rights = []
     for name, bars in timeframes.items():
         low = name.lower()
         feats = with_indicators(bars, sma(5, out="_s5"), sma(20, out="_s20"), atr(14, out="_a"))
-        feats = feats.select("symbol", F.col("ts"), (F.col("_s5") / F.col("_s20") - 1).alias(f"trend_{low}"),
-                             (F.col("_a") / F.col("close")).alias(f"volatility_{low}"))
-        if anchor == "prev":
-            feats = feats.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(float(TIMEFRAME_SECONDS[name]))))
-        cols = [f"trend_{low}", f"volatility_{low}"]
-        out = asof_join(out, feats, ["symbol"], cols, TIMEFRAME_SECONDS[name] * 4096)
-        if fill:
-            out = out.withColumn("_tb", F.floor(F.col(IDX) / 4096))
-            out = running(out.withColumnsRenamed({c: f"_raw_{c}" for c in cols}), ["symbol", "timeframe"], "_tb", [IDX],
-                          {c: ("last", F.col(f"_raw_{c}")) for c in cols}).drop("_tb", *[f"_raw_{c}" for c in cols])
-    return out
+        shift = TIMEFRAME_SECONDS[name] if anchor == "prev" else 0
+        feats = feats.select("symbol", (F.col("ts") + F.make_dt_interval(secs=F.lit(float(shift)))).alias("ts"),
+                             (F.col("_s5") / F.col("_s20") - 1).alias(f"trend_{low}"), (F.col("_a") / F.col("close")).alias(f"volatility_{low}"))
+        rights.append((feats, [f"trend_{low}", f"volatility_{low}"]))
+    widest = max(TIMEFRAME_SECONDS[n] for n in timeframes)
+    return asof_join(base, rights, ["symbol"], widest * 1024, skip_nulls=True)
 
 
 def trend_filter(base: DataFrame, trend_bars: DataFrame, period: int, timeframe: str, anchor: str = "prev") -> DataFrame:
@@ -58,7 +59,7 @@ def trend_filter(base: DataFrame, trend_bars: DataFrame, period: int, timeframe:
     ma = with_indicators(trend_bars, sma(period, out="_ma"))
     shift = Step("shift", ("trend_filter_ma",), lambda d: d.withColumn("trend_filter_ma", lag("_ma") if anchor == "prev" else F.col("_ma")), back=1)
     ma = with_indicators(ma, shift).select("symbol", "ts", "trend_filter_ma")
-    out = asof_join(base, ma, ["symbol"], ["trend_filter_ma"], TIMEFRAME_SECONDS[timeframe] * 4096)
+    out = asof_join(base, [(ma, ["trend_filter_ma"])], ["symbol"], TIMEFRAME_SECONDS[timeframe] * 1024)
     above = F.when(F.col("trend_filter_ma").isNull(), F.lit(0)).otherwise((F.col("close") > F.col("trend_filter_ma")).cast("int"))
     return out.withColumn("trend_filter_above", above)
 
@@ -75,8 +76,7 @@ def trend_filter_from_base(base: DataFrame, period: int, timeframe: str) -> Data
         return df.withColumn("trend_filter_ma", F.avg("close").over(frame)).drop("_bucket")
 
     ma = with_indicators(coarse, Step("partial_mean", ("trend_filter_ma",), apply, back=period))
-    out = asof_join(base, ma.select("symbol", "ts", F.struct("trend_filter_ma").alias("_m1")), ["symbol"], ["_m1"], step * 4096)
-    out = out.withColumn("trend_filter_ma", F.col("_m1.trend_filter_ma")).drop("_m1")
+    out = asof_join(base, [(ma, ["trend_filter_ma"])], ["symbol"], step * 1024)
     return out.withColumn("trend_filter_above", F.coalesce((F.col("close") > F.col("trend_filter_ma")).cast("int"), F.lit(0)))
 
 

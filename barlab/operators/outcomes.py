@@ -56,7 +56,8 @@ def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
     return trades.join(ext, [*KEY, IDX, "direction"], "left")
 
 
-def trade_records(entries: DataFrame, bars: DataFrame, sl_mult: float = SL_ATR, tp_mult: float = TP_ATR, window: int = 24) -> DataFrame:
+def trade_records(entries: DataFrame, bars: DataFrame, sl_mult: float = SL_ATR, tp_mult: float = TP_ATR, window: int = 24,
+                  pip: Column | None = None) -> DataFrame:
     """Closed trades with pips, R multiple, excursions in ATR, reachability of the target, and the loss reason.
 
     Entries carry symbol, timeframe, bar_idx, ts, close, atr, direction.
@@ -68,7 +69,7 @@ def trade_records(entries: DataFrame, bars: DataFrame, sl_mult: float = SL_ATR,
     t = excursions(hit, bars).join(ahead, [*KEY, IDX], "left")
     buy, won = F.col("direction") == "BUY", F.col("outcome") == "WIN"
     sign = F.when(buy, 1.0).otherwise(-1.0)
-    pip, digits = pip_size(F.col("symbol")), price_digits(F.col("symbol"))
+    pip, digits = pip_size(F.col("symbol")) if pip is None else pip, price_digits(F.col("symbol"))
     move = F.when(won, F.col("atr") * tp_mult).otherwise(-F.col("atr") * sl_mult)
     target = F.col("close") + sign * F.col("atr") * tp_mult
     reachable = won | F.coalesce(F.when(buy, F.col("_fh") >= target).otherwise(F.col("_fl") <= target), F.lit(False))

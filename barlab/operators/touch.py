@@ -2,6 +2,7 @@
 
 Bars are packed into arrays of ``CHUNK`` consecutive bars; above them, arrays of chunk extremes form a pyramid.
 An entry is matched to one array per level, so no entry/bar pairs are built and long searches cost a few joins.
+Entries that have nothing to look up get a negative group of their own, which spreads them over the partitions.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def first_touch(entries: DataFrame, bars: DataFrame, upper: str, lower: str, hor
         going = F.col("_found").isNotNull() & (F.col("_lvl") == n + 1)
         out = _look(out, levels[n], n, F.col("_found"), F.lit(-1), upper, lower, going)
     last = levels[0].withColumnRenamed("arr", "_arr")
-    out = out.withColumn("_grp", F.floor(F.col("_found") / CHUNK)).join(last.withColumnRenamed("grp", "_grp"), [*KEY, "_grp"], "left")
+    out = out.withColumn("_grp", F.coalesce(F.floor(F.col("_found") / CHUNK), -1 - F.col(IDX))).join(last.withColumnRenamed("grp", "_grp"), [*KEY, "_grp"], "left")
     bar = F.get(F.filter("_arr", lambda b: b.pos == F.col("_found")), F.lit(0))
     return (out.withColumn("_bar", bar).withColumns({
         "hit_idx": F.col("_found"), "hit_upper": F.coalesce(F.col("_bar.hi") >= F.col(upper), F.lit(False)),
@@ -65,7 +66,7 @@ def first_touch(entries: DataFrame, bars: DataFrame, upper: str, lower: str, hor
 
 
 def _look(out: DataFrame, level: DataFrame, n: int, group: Column, after: Column, upper: str, lower: str, when: Column) -> DataFrame:
-    keyed = out.withColumn("_go", when).withColumn("_grp", F.when(F.col("_go"), group)).withColumn("_after", after)
+    keyed = out.withColumn("_go", when).withColumn("_grp", F.when(F.col("_go"), group).otherwise(-1 - F.col(IDX))).withColumn("_after", after)
     hit = _first("arr", F.col("_after"), upper, lower)
     joined = keyed.join(level.withColumnRenamed("grp", "_grp"), [*KEY, "_grp"], "left").withColumn("_hit", hit)
     found = F.col("_go") & F.col("_hit").isNotNull()
