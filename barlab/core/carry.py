@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.session import ensure_checkpoint_dir
+from barlab.session import cut
 
 Step = Callable[[pd.DataFrame, list[float]], tuple[pd.DataFrame, list[float]]]
 
@@ -42,20 +42,17 @@ def carry_scan(df: DataFrame, key: Sequence[str], block: str, order: Sequence[st
     if blocks_per_key.agg(F.max("count")).first()[0] in (None, 1):
         return df.withColumn("_start", start_lit).groupBy(*groups).applyInPandas(outputs, schema)
 
-    ensure_checkpoint_dir(df.sparkSession)
     state_ddl = f"{key_ddl}, _start array<double>, _end array<double>"
-    states = (df.withColumn("_start", start_lit).groupBy(*groups)
-              .applyInPandas(end_states, state_ddl).checkpoint())
+    states = cut(df.withColumn("_start", start_lit).groupBy(*groups).applyInPandas(end_states, state_ddl))
     by_key = Window.partitionBy(*key).orderBy(block)
     while True:
-        wanted = states.withColumn("_want", F.coalesce(F.lag("_end").over(by_key), start_lit))
-        wanted = wanted.checkpoint()
+        wanted = cut(states.withColumn("_want", F.coalesce(F.lag("_end").over(by_key), start_lit)))
         stale = wanted.filter(F.col("_want") != F.col("_start"))
         if stale.isEmpty():
             break
         redo = df.join(stale.select(*groups, F.col("_want").alias("_start")), groups)
         fixed = redo.groupBy(*groups).applyInPandas(end_states, state_ddl)
         settled = wanted.filter(F.col("_want") == F.col("_start")).drop("_want")
-        states = settled.unionByName(fixed).checkpoint()
+        states = cut(settled.unionByName(fixed))
     final = df.join(states.select(*groups, "_start"), groups)
     return final.groupBy(*groups).applyInPandas(outputs, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "barlab", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and continue from there: later steps that read it several times
+    neither replan nor recompute it, and losing executors does not lose it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
