@@ -41,7 +41,7 @@ def months_to_h1_bars(months: Column) -> Column:
 
 
 def timeframe_to_h1_bars(timeframe: Column) -> Column:
-    return _lookup({"H1": 1, "H4": 4, "D1": 24, "W1": 120}, F.upper(timeframe), 1)
+    return _lookup({"H1": 1, "H4": 4, "D1": 24, "W1": 120, "MN1": 504}, F.upper(timeframe), 4)
 
 
 # ---------------------------------------------------------------- prices
