@@ -536,3 +536,24 @@ SAR = (f"sb AS MATERIALIZED (SELECT symbol, bar_idx, high, low, lag(high) OVER (
 @query("parabolic_sar", "E12 D5", q.h1(*SAR, select=f"SELECT {ID}, dir::BIGINT AS sar_dir, {cols('sar')} FROM sr"))
 def _(spark, sf):
     return show(carried.parabolic_sar(event_bars(spark, sf)), "bar_idx sar_dir", "sar", "symbol")
+
+
+@query("garch_volatility", "E14")
+def _(spark, sf):
+    from barlab.operators.volatility import garch
+
+    return show(garch(order_bars(spark, sf)), "bar_idx", "garch_volatility garch_alpha garch_beta", "symbol")
+
+
+@query("swing_distances", "I50")
+def _(spark, sf):
+    from barlab.operators.volatility import swing_distances
+
+    df = swing_distances(with_indicators(event_bars(spark, sf), ft.ma_distance()))
+    return show(df, "bar_idx", "distance_from_swing_high distance_from_swing_low swing_range_width", "symbol")
+
+
+@query("technical_feature_frame", "P1 P2 I33 I48")
+def _(spark, sf):
+    wanted = ft.active_features(["moving_averages", "rsi", "macd", "bollinger", "keltner", "ichimoku", "supertrend", "parabolic_sar", "pivots", "volume_profile", "candles"])
+    return ft.align(ft.technical_frame(event_bars(spark, sf)), wanted, ["symbol", "bar_idx"])

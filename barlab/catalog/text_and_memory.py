@@ -25,9 +25,9 @@ NAMES = ("European Central Bank", "OPEC Secretariat", "Market Desk", "")
 HOSTS = ("www.ecb.europa.eu", "news.example.com", "www.opec.org", "Blog.Example.ORG")
 
 
-def items(spark, sf):
-    """Feed items from documents: entity, source kind and host rotate with the document number."""
-    d = table(spark, sf, "documents")
+def items(spark, sf, documents=None):
+    """Feed items from documents (a batch or a stream): entity, source kind and host rotate with the document number."""
+    d = table(spark, sf, "documents") if documents is None else documents
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values)).cast("int"))
     return d.select("doc_id", F.col("lang").alias("entity_id"), pick(NAMES).alias("entity_name"), F.regexp_extract("source", r"(\d+)", 1).cast("bigint").alias("source_id"), pick(KINDS).alias("source_type"),
                     F.concat(F.lit("https://"), pick(HOSTS), F.lit("/feed")).alias("source_url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"),
