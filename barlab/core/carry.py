@@ -39,20 +39,24 @@ def carry_scan(df: DataFrame, key: Sequence[str], block: str, order: Sequence[st
 
     start_lit = F.array(*[F.lit(x) for x in initial])
     blocks_per_key = df.select(*groups).distinct().groupBy(*key).count()
-    if blocks_per_key.agg(F.max("count")).first()[0] in (None, 1):
+    most = blocks_per_key.agg(F.max("count")).first()[0]
+    if most in (None, 1):
         return df.withColumn("_start", start_lit).groupBy(*groups).applyInPandas(outputs, schema)
 
     state_ddl = f"{key_ddl}, _start array<double>, _end array<double>"
     states = cut(df.withColumn("_start", start_lit).groupBy(*groups).applyInPandas(end_states, state_ddl))
     by_key = Window.partitionBy(*key).orderBy(block)
-    while True:
+    plain = lambda c: F.transform(c, lambda x: F.when(~F.isnan(x), x)).cast("string")  # NaN and NULL are one state
+    same = plain("_want") == plain("_start")
+    for _ in range(most + 1):  # each round settles at least one more block per key
         wanted = cut(states.withColumn("_want", F.coalesce(F.lag("_end").over(by_key), start_lit)))
-        stale = wanted.filter(F.col("_want") != F.col("_start"))
+        stale = wanted.filter(~same)
         if stale.isEmpty():
             break
         redo = df.join(stale.select(*groups, F.col("_want").alias("_start")), groups)
         fixed = redo.groupBy(*groups).applyInPandas(end_states, state_ddl)
-        settled = wanted.filter(F.col("_want") == F.col("_start")).drop("_want")
-        states = cut(settled.unionByName(fixed))
+        states = cut(wanted.filter(same).drop("_want").unionByName(fixed))
+    else:
+        raise RuntimeError("carry_scan did not settle; the step function is not deterministic")
     final = df.join(states.select(*groups, "_start"), groups)
     return final.groupBy(*groups).applyInPandas(outputs, schema)
