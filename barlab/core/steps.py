@@ -54,6 +54,13 @@ def with_indicators(bars: DataFrame, *steps: Step, block_rows: int = DEFAULT_BLO
     return bars
 
 
+def aside(df: DataFrame, step: Step, prefix: str) -> DataFrame:
+    """Add the outputs of ``step`` under ``prefix``; columns of the same names stay as they are."""
+    held = {o: f"_held_{o}" for o in step.outputs if o in df.columns}
+    df = step.apply(df.withColumnsRenamed(held)).withColumnsRenamed({o: f"{prefix}{o}" for o in step.outputs})
+    return df.withColumnsRenamed({v: k for k, v in held.items()})
+
+
 def warm(col: Column, first: int) -> Column:
     """NULL before bar ``first``."""
     return F.when(F.col(IDX) >= first, col)

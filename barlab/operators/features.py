@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.core.blocks import DEFAULT_BLOCK, IDX, KEY, lag, ordered, rows, running
-from barlab.core.steps import Step, ema_reach, warm, wilder_reach, with_indicators
+from barlab.core.steps import Step, aside, warm, wilder_reach, with_indicators
 from barlab.functions.scalars import finite_or_zero
 from barlab.operators import indicators as ind
 
@@ -76,10 +76,10 @@ def divergences(period: int = 14) -> Step:
 
     def apply(df: DataFrame) -> DataFrame:
         df = ind._rsi(df, "close", 14, "_r")
-        df = ind.macd().apply(df.drop("macd", "macd_signal", "macd_hist"))
+        df = aside(df, ind.macd(), "_d_")
         change = lambda c: F.col(c) / F.nullif(lag(c, period), F.lit(0.0)) - 1
         return df.withColumns({"rsi_price_divergence": change("close") - change("_r"),
-                               "macd_price_divergence": change("close") - change("macd")}).drop("_r", "macd", "macd_signal", "macd_hist")
+                               "macd_price_divergence": change("close") - change("_d_macd")}).drop("_r", "_d_macd", "_d_macd_signal", "_d_macd_hist")
 
     return Step("divergences", ("rsi_price_divergence", "macd_price_divergence"), apply,
                 back=max(wilder_reach(14), ind.macd().back) + period + 2, span=min(ind.macd().span, ind.rsi().span))
@@ -130,11 +130,11 @@ def squeeze() -> Step:
 
     def apply(df: DataFrame) -> DataFrame:
         kept = [c for c in df.columns]
-        df = ind.bollinger(20).apply(df)
-        df = ind.keltner(20, 14).apply(df)
-        bb = (F.col("bb_upper") - F.col("bb_lower")) / _nz(F.col("bb_mid"))
-        kc = (F.col("keltner_upper") - F.col("keltner_lower")) / _nz(F.col("keltner_mid"))
-        pos = (F.col("close") - F.col("keltner_lower")) / _nz(F.col("keltner_upper") - F.col("keltner_lower"))
+        df = aside(aside(df, ind.bollinger(20), "_q_"), ind.keltner(20, 14), "_q_")
+        up, low = F.col("_q_keltner_upper"), F.col("_q_keltner_lower")
+        bb = (F.col("_q_bb_upper") - F.col("_q_bb_lower")) / _nz(F.col("_q_bb_mid"))
+        kc = (up - low) / _nz(F.col("_q_keltner_mid"))
+        pos = (F.col("close") - low) / _nz(up - low)
         df = df.withColumns({"bb_rel_width": bb, "kc_width": kc, "price_kc_pos": pos})
         df = df.withColumn("bb_squeeze", F.coalesce((F.col("bb_rel_width") < F.col("kc_width")).cast("int"), F.lit(0)))
         return df.select(*kept, "bb_rel_width", "kc_width", "price_kc_pos", "bb_squeeze")
@@ -188,11 +188,11 @@ def cloud_features() -> Step:
 
     def apply(df: DataFrame) -> DataFrame:
         kept = df.columns
-        df = ind.ichimoku().apply(df)
-        a = F.col("atr")
-        return df.withColumns({"ichi_cross": (F.col("tenkan") - F.col("kijun")) / a,
-                               "price_cloud_pos": (F.col("close") - (F.col("span_a") + F.col("span_b")) / 2) / a,
-                               "cloud_strength": (F.col("span_a") - F.col("span_b")) / a,
+        df = aside(df, ind.ichimoku(), "_c_")
+        a, span_a, span_b = F.col("atr"), F.col("_c_span_a"), F.col("_c_span_b")
+        return df.withColumns({"ichi_cross": (F.col("_c_tenkan") - F.col("_c_kijun")) / a,
+                               "price_cloud_pos": (F.col("close") - (span_a + span_b) / 2) / a,
+                               "cloud_strength": (span_a - span_b) / a,
                                "chikou_momentum": (F.col("close") - lag("close", 26)) / a}).select(*kept, *outs)
 
     return Step("cloud_features", outs, apply, back=ind.ichimoku().back, ahead=26)
