@@ -49,10 +49,13 @@ def overfit_report(results: DataFrame, key: list[str] = ["strategy_id"], limits:
     df = df.withColumns({"degradation_ratio": ratio, "consistency_score": consistency,
                          "oos_ratio": F.when(F.col("_noos") > 0, F.when(F.col("train_daily") > 0, F.col("oos_daily") / F.col("train_daily")).otherwise(0.0))})
     graded = lambda x, full, half: F.when(x >= full, 1.0).when(x >= half, 0.5).otherwise(0.0)
-    parts = graded(F.col("degradation_ratio"), limits.degradation_robust, limits.degradation_suspect) + graded(
-        F.col("consistency_score"), limits.consistency, limits.consistency * 0.6)
     oos = F.when((F.col("oos_ratio") >= limits.min_oos_profit) & (F.col("oos_daily") > 0), 1.0).when(F.col("oos_daily") > 0, 0.5).otherwise(0.0)
-    score = F.when(F.col("_noos") > 0, (parts + oos) / 3).otherwise(parts / 2)
+    # one test period says nothing about consistency, and a missing out-of-sample period nothing about that: neither is graded
+    grades = F.array_compact(F.array(
+        graded(F.col("degradation_ratio"), limits.degradation_robust, limits.degradation_suspect),
+        F.when(F.col("_ntest") >= 2, graded(F.col("consistency_score"), limits.consistency, limits.consistency * 0.6)),
+        F.when(F.col("_noos") > 0, oos)))
+    score = F.aggregate(grades, F.lit(0.0), lambda acc, g: acc + g) / F.size(grades)
     thin = F.col("total_trades") < limits.min_trades
     df = df.withColumn("_score", score)
     verdict = F.when(thin, "insufficient_data").when(F.col("_score") >= 0.75, "robust").when(F.col("_score") >= 0.40, "suspect").otherwise("overfitted")

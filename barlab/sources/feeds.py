@@ -100,7 +100,7 @@ def page_texts(pages: DataFrame, html: str = "html") -> DataFrame:
 def text_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] = TEXT_EXTENSIONS) -> DataFrame:
     """Whole text files under a folder with an allowed extension: (source, content)."""
     glob = "*{" + ",".join(extensions) + "}"
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return files.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("content"))
 
 

@@ -55,7 +55,7 @@ def test_robustness(spark, train, test, oos, rob, adj):
 
 def test_drawdown_over_blocks(spark):
     pnl = [5.0, -3, 4, -10, 2, 8, -1, -1, 20, -4, -9, 3]
-    df = spark.createDataFrame([("s", n, x) for n, x in enumerate(pnl)], "k string, n int, pnl double")
+    df = spark.createDataFrame([("s", n, x) for n, x in enumerate(map(float, pnl))], "k string, n int, pnl double")
     eq, peak, worst = 0.0, 0.0, 0.0
     for x in pnl:
         eq += x
