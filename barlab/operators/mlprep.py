@@ -32,7 +32,10 @@ def robust_scale(df: DataFrame, features: Sequence[str], by: Sequence[str] = (),
     stats = scaler_statistics(df, features, by, exact)
     pick = lambda c, f: F.max(F.when(F.col("feature") == f, F.col(c)))
     wide = stats.groupBy(*by).agg(*[pick(c, f).alias(f"_{c}_{f}") for f in features for c in ("median", "iqr")])
-    joined = df.join(wide, list(by)) if by else df.crossJoin(F.broadcast(wide))  # a single row without groups
+    if by:
+        joined = df.join(wide, list(by))
+    else:  # a single row of statistics
+        joined = df.withColumn("_k", F.lit(0)).join(F.broadcast(wide.withColumn("_k", F.lit(0))), "_k")
     out = joined.withColumns({f: (F.col(f) - F.col(f"_median_{f}")) / F.col(f"_iqr_{f}") for f in features})
     return out.select(*df.columns)
 
