@@ -55,7 +55,8 @@ def run_news(items: DataFrame, events_path: str, cards_path: str, checkpoint: st
     """Start the stream. Every micro-batch appends its new events and their cards (by day) and calls
     ``on_batch`` with the new cards; old days are purged at most every ``purge_every`` seconds.
 
-    A batch that is retried after a failure finds its rows already stored and adds nothing.
+    Cards are written before events and both are checked against what is stored, so a batch that is retried after
+    a failure adds only what is missing.
     """
     last_purge = [0.0]
 
@@ -64,10 +65,13 @@ def run_news(items: DataFrame, events_path: str, cards_path: str, checkpoint: st
         day = lambda df, c: df.withColumn("day", F.to_date(c))
         fresh = insert_if_new(batch, _stored(spark, events_path, batch.limit(0)).select("content_hash")).persist()
         cards = to_cards(fresh)
+        known = _stored(spark, cards_path, cards.limit(0)).select("raw_event_hash")
+        cards = cards.join(known, "raw_event_hash", "left_anti").persist()
         day(cards, "first_seen_at").write.mode("append").partitionBy("day").parquet(cards_path)
         day(fresh, "fetched_at").write.mode("append").partitionBy("day").parquet(events_path)
         if on_batch:
             on_batch(cards)
+        cards.unpersist()
         fresh.unpersist()
         if time.monotonic() - last_purge[0] >= purge_every or last_purge[0] == 0.0:
             last_purge[0] = time.monotonic()
