@@ -30,10 +30,17 @@ def bucket_start(ts: Column, timeframe: str) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_timestamp(ts) / step) * step)
 
 
+def tick_order(ts: Column, tie: Column) -> Column:
+    """(time, non-negative integer tie) as one decimal. An order of fixed width keeps the bar aggregation a hash
+    aggregate; a struct would make Spark sort all ticks first."""
+    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
+    return micros * F.lit("1" + "0" * 19).cast("decimal(20,0)") + tie.cast("decimal(19,0)")
+
+
 def build_bars(ticks: DataFrame, timeframe: str, symbol: str, ts: str, price: str, tie: str) -> DataFrame:
     """Ticks to bars. First and last price are partial aggregates on (ts, tie), so a symbol or hour with a
-    third of all ticks is reduced before the shuffle."""
-    order = F.struct(F.col(ts), F.col(tie))
+    third of all ticks is reduced before the shuffle. ``tie`` is a non-negative integer column."""
+    order = tick_order(F.col(ts), F.col(tie))
     return (ticks.groupBy(F.col(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"),
                           bucket_start(F.col(ts), timeframe).alias("ts"))
             .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),

@@ -16,7 +16,7 @@ from barlab.operators import gates
 from barlab.operators.asof import trend_filter_from_base
 from barlab.operators.features import ma_distance, market_state, volume_ratios
 from barlab.operators.outcomes import SL_ATR, TP_ATR
-from barlab.sources.bars import TIMEFRAME_SECONDS, indexed, parse_bar_text
+from barlab.sources.bars import TIMEFRAME_SECONDS, indexed, parse_bar_text, tick_order
 from barlab.sources.feeds import format_responses, parse_requests
 
 SEQUENCE_LENGTH = 180
@@ -24,7 +24,7 @@ SEQUENCE_LENGTH = 180
 
 def live_bars(ticks: DataFrame, timeframe: str, symbol: str, ts: str, price: str, tie: str, delay: str = "10 minutes") -> DataFrame:
     """Finished bars of a tick stream. Ticks later than ``delay`` are dropped; the query's progress counts them."""
-    order = F.struct(F.col(ts), F.col(tie))
+    order = tick_order(F.col(ts), F.col(tie))
     width = F.window(F.col(ts), f"{TIMEFRAME_SECONDS[timeframe]} seconds")
     return (ticks.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(F.col(symbol).alias("symbol"), width.alias("w"))
             .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
