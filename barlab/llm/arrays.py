@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -29,11 +29,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: One random value per byte.
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-#: True for bytes of words: all but space and tab to carriage return.
-IN_WORD = np.ones(256, dtype=bool)
-IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+
+def in_word(data: np.ndarray) -> np.ndarray:
+    """True for bytes of words: all but space and tab to carriage return."""
+    return (data != 0x20) & ((data - np.uint8(9)) > 4)
+
+
+def marks(data: np.ndarray, table: bytes) -> np.ndarray:
+    """Each byte's entry in a table of 256 bytes."""
+    return np.frombuffer(data.tobytes().translate(table), dtype=np.uint8)
+
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -53,9 +58,12 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte values times powers of the base; ``range_hash`` turns them into hashes of ranges."""
+    """Prefix sums of byte values (plus 1) times powers of the base; ``range_hash`` turns them into hashes of ranges."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers(len(data)), out=out[1:])
+    value = data.astype(np.uint64)
+    value += _U(1)
+    value *= powers(len(data))
+    np.cumsum(value, out=out[1:])
     return out
 
 
@@ -93,7 +101,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every word; no word crosses a document's end."""
-    inside = IN_WORD[data]
+    inside = in_word(data)
     change = np.empty(len(data) + 1, dtype=bool)
     if len(data):
         change[0], change[-1] = inside[0], inside[-1]
@@ -168,6 +176,7 @@ def per_doc(prefix: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def running(flags: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(flags) + 1, dtype=np.int64)
-    np.cumsum(flags, out=out[1:])
+    """Prefix sums (length + 1) of a flag array."""
+    out = np.zeros(len(flags) + 1, dtype=np.int32 if len(flags) < 2**31 else np.int64)
+    np.cumsum(flags, dtype=out.dtype, out=out[1:])
     return out
