@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import near_dups, quality
+from barlab.llm import mixing, near_dups, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near_dups.near_classes(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among 24 equal shards, and its shard among 25."""
+    return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
+
+
+@register()
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document, and where its copies go."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
