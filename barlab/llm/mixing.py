@@ -132,3 +132,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
     times = F.col("passes") + F.col("extra")
     spots = F.transform(F.filter("homes", lambda p: (p["pass"] < F.col("passes")) | (F.col("extra") > 0)), lambda p: F.struct(p["shard"].alias("shard"), p["pass"].alias("pass"), hashed(p["shard"].cast("string"), p["pass"].cast("string"), F.col("h")).alias("order")))
     return rest.unionByName(edge).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).cast("bigint").alias("taken"), F.coalesce(spots, F.array().cast("array<struct<shard:int,pass:int,order:string>>")).alias("placements"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Rows of one id are told apart by size and a running number."""
+    parts = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    number = lambda df, i, s: df.withColumn("__nr", F.row_number().over(Window.partitionBy(i, s).orderBy(F.lit(0))))
+    times = number(parts.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.size("placements").alias("__times")), "__id", "__size").where("__times > 0").withColumnRenamed("__nr", "__of")
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = number(docs.withColumn("__words", size), id_col, "__words")
+    met = rows.join(times, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__nr") == F.col("__of")))
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import mixing, near_dups, quality, sharding
+from barlab.llm import decontaminate, mixing, near_dups, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
-    return near_dups.near_classes(table(spark, sf_dir, "documents"))
+    return near_dups.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 @register()
@@ -56,3 +56,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document, and where its copies go."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which it holds a passage."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity").distinct()
