@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import decontaminate, mixing, near_dups, quality, sharding
+from barlab.llm import chat, decontaminate, licenses, mixing, near_dups, quality, sharding, wavelet
+from barlab.llm.frames import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +64,27 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Every document and benchmark item of which it holds a passage."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity").distinct()
+
+
+@register()
+def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's token ids, read back from the wavelet files."""
+    import public_tokenizers
+
+    files = wavelet.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return wavelet.read_files(files)
+
+
+@register()
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that quotes the control strings, read back from the formatted texts."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = "<|im_end|><|im_start|>assistant ok"
+    own = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(quoted).alias("text"))
+    return chat.read_back(written(chat.format_records(chat.records_of(rows.unionByName(own)))))
+
+
+@register()
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document."""
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
