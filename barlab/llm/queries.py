@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import chat, decontaminate, licenses, mixing, near_dups, quality, sharding, substrings, wavelet
+from barlab.llm import chat, decontaminate, licenses, mixing, near_dups, pages, quality, sharding, substrings, wavelet
 from barlab.llm.frames import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 400-byte strings that occur elsewhere."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+@register()
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
