@@ -132,18 +132,19 @@ def scan(column: pa.Array, index: Index, least: float, band: int) -> list[tuple[
     out = []
     for (d, template), found in sorted(hits.items()):
         wanted, upto = index.words[template], -1
+        room = min(band, max(1, len(wanted) // 4))  # a short notice may stand again a few words on
         lo, hi = first[d], first[d + 1]
         found.sort()
         groups: list[list[int]] = []
-        for diagonal, _ in found:  # diagonals within the band are one occurrence
-            if groups and diagonal - groups[-1][0] <= band:
+        for diagonal, _ in found:  # diagonals within the room are one occurrence
+            if groups and diagonal - groups[-1][0] <= room:
                 groups[-1].append(diagonal)
             else:
                 groups.append([diagonal])
         for g in groups:
-            begin = max(lo, g[0] - band)
-            part = value[begin : min(hi, g[-1] + len(wanted) + band)]
-            pairs = banded(wanted, part, (g[0] + g[-1]) // 2 - begin, band)
+            begin = max(lo, g[0] - room)
+            part = value[begin : min(hi, g[-1] + len(wanted) + room)]
+            pairs = banded(wanted, part, (g[0] + g[-1]) // 2 - begin, room)
             coverage = len(pairs) / len(wanted)
             if not pairs or coverage < least:
                 continue
