@@ -46,7 +46,7 @@ def _pick(values):
 TRIM = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 ITEMS = f"""it AS (SELECT doc_id, lang AS entity_id, {_pick(NAMES)} AS entity_name, regexp_extract(source, '(\\d+)', 1)::BIGINT AS source_id, {_pick(KINDS)} AS source_type, 'https://'||{_pick(HOSTS)}||'/feed' AS source_url,
   {TRIM('substring(text,1,60)')} AS title, {TRIM('text')} AS content, TIMESTAMP '2024-01-01' + (doc_id % 20000) * INTERVAL 1 MINUTE AS fetched_at, 'https://'||{_pick(HOSTS)}||'/a/'||(doc_id % 700) AS url FROM documents),
-ev AS (SELECT *, sha256(entity_id||'|'||source_id||'|'||source_type||'|'||url||'|'||title||'|'||substring(content,1,2000)) AS content_hash, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)) AS host FROM it)"""
+ev AS (SELECT *, sha256(entity_id||'|'||source_id||'|'||source_type||'|'||url||'|'||title||'|'||content) AS content_hash, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)) AS host FROM it)"""
 HASHED = "substr(content_hash, 1, 12) AS hash"
 
 
@@ -79,11 +79,11 @@ def _(spark, sf):
 
 
 DET = " || ".join(f"CASE WHEN {_any_sql('t', words)} THEN '|{n}' ELSE '' END" for n, words in news.DETECTED)
-EXC = f"CASE WHEN {TRIM('substring(body,1,350)')}<>'' THEN {TRIM('substring(body,1,350)')} ELSE title END"
+EXC = f"CASE WHEN {TRIM('body')}<>'' THEN {TRIM('body')} ELSE title END"
 
 
 @query("card_entities_and_claims", "N6 N7 U5", f"""WITH {CARDS} SELECT {HASHED}, entity_name || {DET} AS names,
-  CASE WHEN entity_name<>'' THEN entity_name ELSE host END AS speaker, substring(CASE WHEN ({EXC})='' OR contains(lower(title), lower({EXC})) THEN title ELSE {TRIM(f"(title || ' — ' || {EXC})")} END, 1, 500) AS claim FROM cs""")
+  CASE WHEN entity_name<>'' THEN entity_name ELSE host END AS speaker, CASE WHEN ({EXC})='' OR contains(lower(title), lower({EXC})) THEN title ELSE {TRIM(f"(title || ' — ' || {EXC})")} END AS claim FROM cs""")
 def _(spark, sf):
     c = news.to_cards(events(spark, sf))
     names = F.array_join(F.transform("entities", lambda e: F.coalesce(e["name"], F.lit(""))), "|")
@@ -108,7 +108,7 @@ def _(spark, sf):
 
 
 @query("recent_items", "K4 ST3", f"""WITH {ITEMS} SELECT {HASHED}, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS read_at, host AS site, CASE WHEN title='' THEN '(sans titre)' ELSE title END AS title, url, 'unknown' AS event_type FROM ev
-  WHERE fetched_at >= {NOW_SQL} - INTERVAL 7 DAY ORDER BY ev.fetched_at DESC, content_hash LIMIT 500""")
+  WHERE fetched_at >= {NOW_SQL} - INTERVAL 7 DAY ORDER BY ev.fetched_at DESC, content_hash""")
 def _(spark, sf):
     r = news.recent_for_display(events(spark, sf), now())
     return r.select(F.substring("content_hash", 1, 12).alias("hash"), F.date_format("read_at", "yyyy-MM-dd HH:mm:ss").alias("read_at"), "site", "title", "url", "event_type")

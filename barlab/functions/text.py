@@ -60,7 +60,7 @@ def extract_urls(text: Column) -> Column:
 def content_hash(entity: Column, source: Column, kind: Column, url: Column, title: Column, content: Column) -> Column:
     parts = [F.coalesce(c.cast("string"), F.lit("None")) for c in (entity, source, kind)]
     texts = [F.coalesce(c, F.lit("")) for c in (url, title)]
-    return F.sha2(F.concat_ws("|", *parts, *texts, F.substring(F.coalesce(content, F.lit("")), 1, 2000)), 256)
+    return F.sha2(F.concat_ws("|", *parts, *texts, F.coalesce(content, F.lit(""))), 256)
 
 
 #: Sources that are read through another address (fixed values): marker, replacement type, replacement URL.

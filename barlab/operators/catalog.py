@@ -162,11 +162,11 @@ def mutate(parent: Strategy, number: int, strength: float = 0.2, seed: int = 42)
 
 
 def crossover(a: Strategy, b: Strategy, number: int, seed: int = 42) -> Strategy:
-    """Each indicator and the risk settings come from either parent; one indicator at least, at most five."""
+    """Each indicator and the risk settings come from either parent; one indicator at least."""
     d = Draw(seed, "cross", a.id, b.id, number)
     pool = {k: (k, p) for k, p in a.indicators}
     pool.update({k: (k, p) for k, p in b.indicators if k not in pool or d.unit() < 0.5})
     picked = [x for x in pool.values() if d.unit() < 0.6] or [next(iter(pool.values()))]
     risk = a if d.unit() < 0.5 else b
-    return Strategy(f"x{number}_{a.id}_{b.id}"[:120], a.timeframe, a.family if d.unit() < 0.5 else b.family, "crossover", tuple(picked[:5]),
+    return Strategy(f"x{number}_{hashlib.sha256(f'{a.id}|{b.id}'.encode()).hexdigest()[:24]}", a.timeframe, a.family if d.unit() < 0.5 else b.family, "crossover", tuple(picked),
                     risk.stop_loss, risk.take_profit, risk.risk_reward, risk.risk_per_trade)

@@ -9,12 +9,10 @@ from barlab.core.blocks import running
 from barlab.functions.scalars import MESSAGE_FORMATS, parse_timestamp
 from barlab.functions.text import guess_language, tokens, trim_to_tokens
 
-RESULT_LIMIT = 5000
 
-
-def experience_rows(df: DataFrame) -> DataFrame:
-    """Rows ready to append; long results are cut to the stored length of the field."""
-    return df.withColumn("result", F.substring("result", 1, RESULT_LIMIT))
+def experience_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows ready to append; results are kept whole unless a field length is given."""
+    return df.withColumn("result", F.substring("result", 1, limit)) if limit else df
 
 
 def top_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -22,10 +20,10 @@ def top_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Last write per key. One aggregation with a map-side combine, no window over the key."""
+    """Last write per key; of equal times the larger row, so reruns agree. One aggregation with a map-side combine."""
     both = existing.unionByName(new)
     others = [c for c in both.columns if c not in key]
-    return both.groupBy(*key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_r")).select(*key, "_r.*")
+    return both.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(order, *others)).alias("_r")).select(*key, "_r.*")
 
 
 def store_stats(experiences: DataFrame, discoveries: DataFrame, strategies: DataFrame) -> DataFrame:

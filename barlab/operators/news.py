@@ -90,10 +90,12 @@ def to_cards(events: DataFrame, word_boundary: bool = False) -> DataFrame:
     df = df.withColumn("_text", fold(F.concat(F.col("_title"), F.lit("\n"), F.col("_body"))))
     primary = F.when((F.coalesce("entity_id", F.lit("")) != "") | (F.col("_name") != ""), F.struct(
         F.nullif(F.col("entity_id"), F.lit("")).alias("entity_id"), F.nullif(F.col("_name"), F.lit("")).alias("name"), F.lit("primary").alias("role")))
-    found = [F.when(_any(F.col("_text"), words, word_boundary), F.struct(F.lit(None).cast("string").alias("entity_id"), F.lit(n).alias("name"), F.lit("detected").alias("role"))) for n, words in DETECTED]
-    excerpt = F.coalesce(F.nullif(strip(F.substring("_body", 1, 350)), F.lit("")), strip(F.substring("_title", 1, 350)))
+    # one entry per entity: a primary without an id is the same entity as a detected one of its name
+    own = F.when(F.coalesce("entity_id", F.lit("")) == "", F.lower("_name")).otherwise(F.lit(""))
+    found = [F.when(_any(F.col("_text"), words, word_boundary) & (own != n.lower()), F.struct(F.lit(None).cast("string").alias("entity_id"), F.lit(n).alias("name"), F.lit("detected").alias("role"))) for n, words in DETECTED]
+    excerpt = F.coalesce(F.nullif(strip(F.col("_body")), F.lit("")), F.col("_title"))
     repeated = (excerpt == "") | F.lower("_title").contains(F.lower(excerpt))
-    claim = F.substring(F.when(repeated, F.col("_title")).otherwise(strip(F.concat(F.col("_title"), F.lit(" — "), excerpt))), 1, 500)
+    claim = F.when(repeated, F.col("_title")).otherwise(strip(F.concat(F.col("_title"), F.lit(" — "), excerpt)))
     speaker = F.coalesce(F.nullif("_name", F.lit("")), F.nullif(host(F.col("_url")), F.lit("")), F.lit("source"))
     df = df.withColumn("event_type", classify(F.col("_text"), F.col("_name"), F.col("_url"), word_boundary))
     return df.select(
@@ -119,13 +121,14 @@ def purge(df: DataFrame, now: Column, days: int, ts: str) -> DataFrame:
     return df.filter(F.col(ts) >= now - F.make_dt_interval(days=F.lit(days)))
 
 
-def recent_for_display(events: DataFrame, now: Column, days: int = 7, limit: int = 500) -> DataFrame:
-    """Newest items with default site, title and type."""
+def recent_for_display(events: DataFrame, now: Column, days: int = 7, limit: int | None = None) -> DataFrame:
+    """Newest items with default site, title and type; all of them unless a limit is given."""
     url = F.trim(F.coalesce(F.nullif("url", F.lit("")), F.col("source_url"), F.lit("")))
     site = F.coalesce(F.nullif(json_field(F.col("metadata"), "domain"), F.lit("")), F.nullif(host(url), F.lit("")), F.nullif(host(F.col("source_url")), F.lit("")), F.lit("unknown"))
     text = lambda c, default: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(default))
-    return (purge(events, now, days, "fetched_at").orderBy(F.col("fetched_at").desc(), "content_hash").limit(limit)
-            .select(F.col("fetched_at").alias("read_at"), site.alias("site"), text("title", "(sans titre)").alias("title"), url.alias("url"), text("event_type", "unknown").alias("event_type"), "content_hash"))
+    newest = purge(events, now, days, "fetched_at")
+    newest = newest.orderBy(F.col("fetched_at").desc(), "content_hash").limit(limit) if limit else newest
+    return (newest.select(F.col("fetched_at").alias("read_at"), site.alias("site"), text("title", "(sans titre)").alias("title"), url.alias("url"), text("event_type", "unknown").alias("event_type"), "content_hash"))
 
 
 def route(items: DataFrame, preferences: DataFrame) -> DataFrame:

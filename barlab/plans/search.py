@@ -45,8 +45,8 @@ def evaluator(bars: dict[str, DataFrame], info: SymbolInfo, capital: float = STA
     return run
 
 
-def planned(timeframes: list[str], variants: int = 3, limit: int = 200, families: list[str] | None = None, seed: int = 42) -> list[Strategy]:
-    """Family x timeframe x variant grid, in that order, up to the budget."""
+def planned(timeframes: list[str], variants: int = 3, limit: int | None = None, families: list[str] | None = None, seed: int = 42) -> list[Strategy]:
+    """Family x timeframe x variant grid, in that order, up to the budget if one is given."""
     grid = [(f, tf, n) for f in (families or FAMILIES) for tf in timeframes for n in range(variants)]
     return [generate(f, tf, n, seed) for f, tf, n in grid[:limit]]
 
@@ -83,7 +83,7 @@ def exhaustive(evaluate: Evaluator, strategies: list[Strategy], keep: int = 10,
 def generational(evaluate: Evaluator, population: list[Strategy], generations: int = 3, min_trades: int = 1, seed: int = 42) -> DataFrame:
     """Survivors (better half, at least two) breed mutated and crossed children; returns all evaluated rows."""
     size, by_id, everything = len(population), {}, None
-    for g in range(min(generations, 10)):
+    for g in range(generations):
         by_id.update({s.id: s for s in population})
         rows = cut(viable(evaluate(population), min_trades).withColumn("generation", F.lit(g)))  # checkpointed: rounds do not nest
         everything = rows if everything is None else everything.unionByName(rows)
@@ -115,7 +115,7 @@ def improve(evaluate: Evaluator, start: Strategy, steps: int = 5, width: int = 4
     return history
 
 
-def optimise_candidates(evaluate: Evaluator, candidates: list[Strategy], steps: int = 50, give_up_after: int = 10, give_up_below: float = 20.0,
+def optimise_candidates(evaluate: Evaluator, candidates: list[Strategy], steps: int, give_up_after: int = 10, give_up_below: float = 20.0,
                         validate_above: float = 15.0, seed: int = 42) -> DataFrame:
     """All candidates climb in parallel, one job per step; weak ones drop out after ``give_up_after`` steps.
     Returns the best row per candidate that is worth validating, best first."""
@@ -143,8 +143,8 @@ def group_stats(results: DataFrame) -> DataFrame:
     return agg
 
 
-def session_report(results: DataFrame, hall: int = 50) -> DataFrame:
+def session_report(results: DataFrame) -> DataFrame:
     """Runs, hall-of-fame size, best and mean score, accepted and rejected counts."""
-    return results.agg(F.count(F.lit(1)).alias("runs"), F.least(F.count_if(F.col("score") > 0), F.lit(hall)).alias("hall_of_fame"),
+    return results.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("score") > 0).alias("hall_of_fame"),
                        F.max("score").alias("best_score"), F.avg("score").alias("mean_score"),
                        F.count_if(F.col("accepted")).alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))

@@ -34,11 +34,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (spark.sparkContext.master + "[").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder holds data files; errors of the store are raised, not taken for an empty table."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return False
+    found = fs.listFiles(root, True)
+    while found.hasNext():
+        name = found.next().getPath().getName()
+        if not name.startswith(("_", ".")):
+            return True
+    return False
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from there: later steps that read it several times
     neither replan nor recompute it, and losing executors does not lose it."""

@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from barlab.functions.text import HIDDEN, TEXT_EXTENSIONS, strip
 from barlab.operators.retrieval import clean_lines
 
-MAX_ITEMS = 30
 _RSS = ("channel struct<item:array<struct<title:string,link:string,pubDate:string,updated:string,description:string,"
         "`content:encoded`:string>>>")
 _ATOM = "entry array<struct<title:string,link:array<struct<_href:string>>,published:string,updated:string,summary:string,content:string>>"
 
 
-def feed_items(feeds: DataFrame, xml: str = "xml", limit: int = MAX_ITEMS) -> DataFrame:
+def feed_items(feeds: DataFrame, xml: str = "xml", limit: int | None = None) -> DataFrame:
     """Items (position, title, item_url, published_at, content) of RSS or Atom documents held in a column.
 
-    The first body with text wins over the summary; items without any text are dropped.
+    The first body with text wins over the summary; items without any text are dropped. ``limit`` keeps the first items of
+    each document.
     """
     options = {"valueTag": "_text", "mode": "PERMISSIVE"}
     text = lambda *cols: F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in cols])
@@ -32,7 +32,8 @@ def feed_items(feeds: DataFrame, xml: str = "xml", limit: int = MAX_ITEMS) -> Da
     atom = feeds.filter(F.col(xml).contains("<entry")).select(*keep, F.posexplode(F.from_xml(xml, _ATOM, options)["entry"]).alias("pos", "i")).select(
         *keep, "pos", text(F.col("i.title")).alias("title"), text(F.get(F.col("i.link"), F.lit(0))["_href"]).alias("item_url"), text(F.col("i.published"), F.col("i.updated")).alias("published_at"),
         text(F.col("i.content"), F.col("i.summary")).alias("content"))
-    both = rss.unionByName(atom).filter((F.col("pos") < limit) & F.col("content").isNotNull())
+    both = rss.unionByName(atom).filter(F.col("content").isNotNull())
+    both = both.filter(F.col("pos") < limit) if limit is not None else both
     return both.fillna("", ["title", "item_url", "published_at"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from barlab.operators.audits import report_totals, risk_audit
 from barlab.operators.news import insert_if_new
+from barlab.session import has_files
 
 #: Signal columns of the two CSV layouts.
 SPLIT_LAYOUT = ("date", "time", "dir", "sl", "tp", "comment")
@@ -51,10 +52,7 @@ def append_json_lines(df: DataFrame, path: str) -> None:
 def append_new(new: DataFrame, path: str, key: str = "content_hash", order: str = "fetched_at") -> DataFrame:
     """Append the rows whose key is not stored yet; the table is Parquet, additive columns are allowed."""
     spark = new.sparkSession
-    try:
-        existing = spark.read.option("mergeSchema", True).parquet(path)
-    except Exception:  # first write: no table yet
-        existing = new.limit(0)
+    existing = spark.read.option("mergeSchema", True).parquet(path) if has_files(spark, path) else new.limit(0)
     fresh = insert_if_new(new, existing, key, order)
     fresh.write.mode("append").parquet(path)
     return fresh

@@ -39,27 +39,38 @@ def late_rows(query: StreamingQuery) -> int:
 
 def lock_states(lines: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Lock changes per symbol from a stream of (symbol, ts, locked): a lock holds for its UTC day, can be
-    lifted again, and expires at midnight of event time. Emits (symbol, day, locked) on every change."""
-    schema, state = "symbol string, day string, locked boolean", "day string, locked boolean"
+    lifted again, and expires at midnight of event time. Emits (symbol, day, locked) on every change, and the lift of a
+    day that ends locked, once: with the next day's first line, or when the watermark has passed midnight, at once if it
+    already has. Lines older than the newest one seen of their symbol change nothing."""
+    schema, state = "symbol string, day string, locked boolean", "day string, locked boolean, seen timestamp"
 
     def update(key: tuple, batches: Iterable[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        day, locked = st.get if st.exists else (None, False)
+        day, locked, seen = st.get if st.exists else (None, False, None)
         out = []
         if st.hasTimedOut:
             if locked:
                 out.append((key[0], day, False))
             st.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values("ts")
-            for t, flag in zip(rows["ts"], rows["locked"]):
-                today = t.strftime("%Y-%m-%d")
-                if day is None or today >= day:
-                    if today != day or flag != locked:
-                        out.append((key[0], today, bool(flag)))
-                    day, locked = today, bool(flag)
-            st.update((day, locked))
+            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            rows = rows[rows["ts"] >= pd.Timestamp(seen)] if seen is not None else rows
+            days, flags = rows["ts"].dt.strftime("%Y-%m-%d"), rows["locked"].astype(bool)
+            before_day, before = days.shift(fill_value=day or ""), flags.shift(fill_value=locked)
+            turned = (days != before_day) | (flags != before)
+            for today, flag, last, was in zip(days[turned], flags[turned], before_day[turned], before[turned]):
+                if last and last != today and was:
+                    out.append((key[0], last, False))
+                out.append((key[0], today, bool(flag)))
+            if len(rows):
+                day, locked, seen = days.iloc[-1], bool(flags.iloc[-1]), rows["ts"].iloc[-1].to_pydatetime()
             midnight = (pd.Timestamp(day) + pd.Timedelta(days=1)).value // 1_000_000
-            st.setTimeoutTimestamp(max(midnight, st.getCurrentWatermarkMs() + 1))
+            if midnight <= st.getCurrentWatermarkMs():
+                if locked:
+                    out.append((key[0], day, False))
+                st.remove()
+            else:
+                st.update((day, locked, seen))
+                st.setTimeoutTimestamp(midnight)
         yield pd.DataFrame(out, columns=["symbol", "day", "locked"])
 
     return lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("symbol").applyInPandasWithState(update, schema, state, "append", GroupStateTimeout.EventTimeTimeout)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barlab.operators.news import insert_if_new, make_events, recent_for_display, to_cards
+from barlab.session import has_files
 
 RETENTION_DAYS = 7
 PURGE_EVERY_SECONDS = 3600
-REPLAY_LIMIT = 500
 
 
 def unique_events(items: DataFrame, retention_days: int = RETENTION_DAYS) -> DataFrame:
@@ -25,10 +25,7 @@ def unique_events(items: DataFrame, retention_days: int = RETENTION_DAYS) -> Dat
 
 
 def _stored(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # first batch: no table yet
-        return empty
+    return spark.read.parquet(path) if has_files(spark, path) else empty
 
 
 def purge_days(spark: SparkSession, path: str, today: date, retention_days: int = RETENTION_DAYS) -> list[str]:
@@ -45,7 +42,7 @@ def purge_days(spark: SparkSession, path: str, today: date, retention_days: int
     return [p.getName() for p in old]
 
 
-def replay(spark: SparkSession, events_path: str, now, days: int = RETENTION_DAYS, limit: int = REPLAY_LIMIT) -> DataFrame:
+def replay(spark: SparkSession, events_path: str, now, days: int = RETENTION_DAYS, limit: int | None = None) -> DataFrame:
     """Recent stored items, oldest first, for the start of a session."""
     return recent_for_display(spark.read.parquet(events_path), now, days, limit).orderBy("read_at", "content_hash")
 

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -55,16 +56,39 @@ def test_news_stream_is_idempotent_and_purges(spark, tmp_path):
     assert [r["title"] for r in ns.replay(spark, ev, F.lit("2024-01-10").cast("timestamp")).collect()] == ["missile attack"]
 
 
+LOCKS = "symbol string, ts timestamp, locked boolean"
+
+
+def _locks(spark, tmp_path, name, files):
+    """Lock changes of a stream that reads the files one by one in the given order."""
+    src = tmp_path / name
+    for n, rows in enumerate(files):
+        _write(src, [dict(zip(("symbol", "ts", "locked"), r)) for r in rows], n)
+        os.utime(src / f"{n:03d}.json", (1_700_000_000 + 60 * n,) * 2)
+    stream = spark.readStream.schema(LOCKS).option("maxFilesPerTrigger", 1).json(str(src))
+    _run(live.lock_states(stream), tmp_path / f"{name}_out", tmp_path, name)
+    return sorted((r["symbol"], r["day"], r["locked"]) for r in spark.read.parquet(str(tmp_path / f"{name}_out")).collect())
+
+
 def test_locks_expire_at_midnight(spark, tmp_path):
-    src = tmp_path / "locks"
-    rows = [{"symbol": "A", "ts": "2024-01-01 10:00:00", "locked": True}, {"symbol": "B", "ts": "2024-01-01 11:00:00", "locked": True}, {"symbol": "B", "ts": "2024-01-01 12:00:00", "locked": False}]
-    _write(src, rows, 0)
-    _write(src, [{"symbol": "C", "ts": "2024-01-02 09:00:00", "locked": True}], 1)
-    stream = spark.readStream.schema("symbol string, ts timestamp, locked boolean").option("maxFilesPerTrigger", 1).json(str(src))
-    _run(live.lock_states(stream), tmp_path / "out", tmp_path, "locks")
-    got = {(r["symbol"], r["day"], r["locked"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert {("A", "2024-01-01", True), ("B", "2024-01-01", True), ("B", "2024-01-01", False), ("C", "2024-01-02", True)} <= got
-    assert ("A", "2024-01-01", False) in got  # lifted by the watermark passing midnight
+    first = [("A", "2024-01-01 10:00:00", True), ("B", "2024-01-01 11:00:00", True), ("B", "2024-01-01 12:00:00", False)]
+    second = [("C", "2024-01-02 09:00:00", True)]
+    want = sorted([("A", "2024-01-01", True), ("A", "2024-01-01", False), ("B", "2024-01-01", True), ("B", "2024-01-01", False), ("C", "2024-01-02", True)])
+    assert _locks(spark, tmp_path, "in_order", [first, second]) == want
+    assert _locks(spark, tmp_path, "one", [first + second]) == want
+
+
+def test_locks_of_a_day_that_is_over_are_lifted_at_once(spark, tmp_path):
+    day = [("A", "2024-01-01 23:50:00", True)]
+    later = [("C", "2024-01-02 00:40:00", True)]  # the watermark stands at 23:40, so A's line is not late
+    last = [("D", "2024-01-02 05:00:00", False)]
+    got = _locks(spark, tmp_path, "reversed", [later, day, last])
+    assert {("A", "2024-01-01", True), ("A", "2024-01-01", False)} <= set(got)
+
+
+def test_older_lock_lines_do_not_win(spark, tmp_path):
+    got = _locks(spark, tmp_path, "old", [[("A", "2024-01-01 12:00:00", True)], [("A", "2024-01-01 11:30:00", False)], [("A", "2024-01-01 12:10:00", True)]])
+    assert got == [("A", "2024-01-01", True)]
 
 
 def test_requests_get_an_answer_each(spark, tmp_path):
