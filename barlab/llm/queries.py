@@ -47,7 +47,27 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-@register()
+def _nibble_table() -> list[int]:
+    """CRC-32 remainders of the 16 half bytes, for SQL that goes through a text's hex digits."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+_BITS = lambda salt: f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || {salt}), 1, 12))::BIGINT"
+_TOP = lambda n: f"list_aggregate(list_transform(range(0, {n}), lambda s: {{'b': {_BITS('s')}, 's': -s}}), 'max').s * -1"
+SHARDING_SQL = f"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, length(h) AS l, list_transform(string_split(h, ''), lambda v: (strpos('0123456789ABCDEF', v) - 1)::BIGINT) AS x FROM h),
+o AS (SELECT doc_id, l // 2 + 8 AS size, list_prepend(4294967295::BIGINT, list_transform(range(0, l), lambda i: x[(i // 2) * 2 + 2 - i % 2])) AS y FROM n),
+c AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295::BIGINT, list_reduce(y, lambda c, v: xor(c >> 4, {_nibble_table()}[(xor(c, v) & 15) + 1]::BIGINT))) AS text_crc32,
+  ({_TOP(24)})::INTEGER AS shard, ({_TOP(25)})::INTEGER AS grown_shard, {_BITS("'block'")} >> 32 AS block FROM o)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM c"""
+
+
+@register(SHARDING_SQL)
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document among 24 equal shards, and its shard among 25."""
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
@@ -75,7 +95,15 @@ def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_files(files)
 
 
-@register()
+CHAT_SQL = r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) AS q(t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars FROM r GROUP BY conv_id"""
+
+
+@register(CHAT_SQL)
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, and of one that quotes the control strings, read back from the formatted texts."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
