@@ -1,4 +1,6 @@
 import numpy as np
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from barlab.functions import text as tx
@@ -128,3 +130,15 @@ def test_small_text_functions(spark):
     assert one(tx.host(F.lit("HTTPS://Www.X.org:80/a?b"))) == "www.x.org:80" and one(tx.host(F.lit("none"))) == ""
     assert one(tx.problem_domain(F.lit("Backtest ma stratégie forex"))) == "trading_strategy"
     assert one(tx.extract_urls(F.lit("a http://x.y b https://z http://x.y"))) == ["http://x.y", "https://z"]
+
+
+def test_primary_without_id_is_not_detected_again(spark):
+    from barlab.operators.news import make_events, to_cards
+
+    schema = "entity_id string, entity_name string, source_id bigint, source_type string, source_url string, title string, content string, published_at string, fetched_at timestamp, item_url string"
+    at = datetime(2024, 1, 1)
+    rows = [("", "Iran", 1, "rss", "https://a.org/f", "Iran talks", "about Iran", "x", at, "https://a.org/1"), ("7", "Iran", 1, "rss", "https://a.org/f", "Iran talks", "about Iran", "x", at, "https://a.org/2")]
+    cards = to_cards(make_events(spark.createDataFrame(rows, schema))).collect()
+    got = {c["urls"][0]: [(e["entity_id"], e["name"]) for e in c["entities"]] for c in cards}
+    assert [n for _, n in got["https://a.org/1"]].count("Iran") == 1
+    assert got["https://a.org/2"][0] == ("7", "Iran")
