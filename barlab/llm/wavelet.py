@@ -30,7 +30,7 @@ from barlab.llm.frames import written
 MAGIC = b"WMX1"
 BLOCK = 512
 #: Distinct words whose ids a task remembers before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 
 
 class WaveletMatrix:
@@ -47,9 +47,10 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
-        planes, now = [], ids.astype(np.uint32)
+        kind = np.uint16 if levels <= 16 else np.uint32
+        planes, now = [], ids.astype(kind)
         for b in range(levels - 1, -1, -1):
-            bit = (now >> np.uint32(b)) & np.uint32(1) == 1
+            bit = now & kind(1 << b) != 0
             planes.append(np.packbits(bit))
             now = np.concatenate([now[~bit], now[bit]])
         return cls(len(ids), planes)
@@ -57,12 +58,13 @@ class WaveletMatrix:
     def ids(self) -> np.ndarray:
         """The whole sequence, from the last plane back to the first."""
         levels = len(self.planes)
-        out = np.zeros(self.n, dtype=np.uint32)
+        kind = np.uint16 if levels <= 16 else np.uint32
+        out = np.zeros(self.n, dtype=kind)
         for level in range(levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
-            before = np.empty(self.n, dtype=np.uint32)
+            before = np.empty(self.n, dtype=kind)
             before[~bit] = out[: self.zeros[level]]
-            before[bit] = out[self.zeros[level] :] | np.uint32(1 << (levels - 1 - level))
+            before[bit] = out[self.zeros[level] :] | kind(1 << (levels - 1 - level))
             out = before
         return out
 
@@ -162,58 +164,107 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return [None if f else int(x) for f, x in zip(flags, names)], lengths, WaveletMatrix(n, planes)
 
 
-def encoder(path: str):
-    """Function from texts to the ids of each as little-endian 32-bit bytes.
+def encoder(path: str, end_id: int):
+    """Function from a column of texts to the ids of all of them, each text's followed by ``end_id``, and their lengths.
 
-    A word (between spaces or line feeds) has the same ids wherever it stands with this kind of tokenizer (white space is
-    dropped before merging), so each distinct word is encoded once and remembered."""
+    A word (between spaces or line feeds) has the same ids wherever it stands with this kind of tokenizer (it lowers case,
+    drops white space and merges letters and marks apart), so each distinct word is encoded once and remembered, and a
+    batch looks up its distinct words only. A word of letters with a full stop or comma behind is put together from both;
+    words of small letters skip the normaliser and the splitting expression, and ASCII ones the mapping of bytes, all of
+    which would leave them as they are.
+    """
     import os
+    from array import array
+    from unicodedata import is_normalized
+
+    import pyarrow.compute as pc
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    tok, memo = Tokenizer.from_file(path), {}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words) - memo.keys())
+    from tokenizers.pre_tokenizers import ByteLevel
+    full, memo = Tokenizer.from_file(path), {}
+    ascii_letters, letters = Tokenizer(full.model), Tokenizer(full.model)
+    letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def learn(tok: Tokenizer, words: list[str]) -> None:
+        for w, e in zip(words, tok.encode_batch_fast(words, add_special_tokens=False)):
+            memo[w] = array("I", e.ids).tobytes()
+
+    def learn_all(new: list[str]) -> None:
+        made = {}
+        for w in new:
+            mark = w[-1:] if w[-1:] in (".", ",") else ""
+            core = w[:-1] if mark else w
+            if core.isalpha() and (mark or core.isascii() and not core.islower()):
+                made[w] = (core.lower() if core.isascii() else core, mark)
+        need = set(new).difference(made).union([".", ",", ""], (core for core, _ in made.values())) - memo.keys()
+        small = {w for w in need if w.isalpha() and w == w.lower() and is_normalized("NFC", w)}
+        learn(ascii_letters, [w for w in small if w.isascii()])
+        learn(letters, [w for w in small if not w.isascii()])
+        learn(full, list(need - small))
+        for w, (core, mark) in made.items():
+            memo[w] = memo[core] + memo[mark]
+
+    def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [w for w in words if w not in memo]
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
-            new = list(set().union(*words))
-        for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, ws)) for ws in words]
+            new = words
+        learn_all(new)
+        found = [memo[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        known = np.frombuffer(b"".join(found), "<u4")
+        n = size[at]  # ids of every word in the texts, in order
+        upto = np.concatenate([[0], np.cumsum(n)])
+        count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        edges = upto[np.concatenate([[0], np.cumsum(count)])]
+        lengths = np.diff(edges) + 1
+        ids = np.full(upto[-1] + len(count), end_id, dtype=np.uint32)
+        doc = np.repeat(np.arange(len(count)), count)
+        step = np.arange(upto[-1])
+        ids[step + np.repeat(doc, n)] = known[np.repeat((np.cumsum(size) - size)[at] - upto[:-1], n) + step]
+        return ids, lengths
 
     return encode
 
 
 def _pack_partition(batches, path: str, end_id: int, levels: int, file_tokens: int):
     from pyspark import TaskContext
-    encode, part, number = encoder(path), TaskContext.get().partitionId(), 0
-    held: list[bytes] = []
+    encode, part, number = encoder(path, end_id), TaskContext.get().partitionId(), 0
+    held: list[np.ndarray] = []
     docs: list = []
-    tokens, end = 0, struct.pack("<I", end_id)
+    sizes: list[np.ndarray] = []
+    tokens = 0
 
     def file():
-        nonlocal held, docs, tokens, number
-        ids = np.frombuffer(b"".join(held), "<u4")
-        lengths = np.array([len(h) // 4 for h in held], dtype=np.uint32)
-        row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([tokens], pa.int64()), pa.array([pack(docs, lengths, ids, levels)], pa.binary())], ["part", "number", "n_tokens", "payload"])
-        held, docs, tokens, number = [], [], 0, number + 1
+        nonlocal held, docs, sizes, tokens, number
+        payload = pack(docs, np.concatenate(sizes), np.concatenate(held), levels)
+        row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([tokens], pa.int64()), pa.array([payload], pa.binary())], ["part", "number", "n_tokens", "payload"])
+        held, docs, sizes, tokens, number = [], [], [], 0, number + 1
         return row
 
     for batch in batches:
-        for cut in A.chunks(batch):
-            for doc, ids in zip(cut.column("id").to_pylist(), encode([t or "" for t in cut.column("text").to_pylist()])):
-                docs.append(doc)
-                held.append(ids + end)
-                tokens += len(ids) // 4 + 1
+        for cut in A.chunks(batch, limit=4 * A.CHUNK_BYTES):
+            ids, lengths = encode(cut.column("text"))
+            names, ends, at = cut.column("id").to_pylist(), np.cumsum(lengths), 0
+            while at < len(names):  # up to the document with which the file is full
+                start = int(ends[at] - lengths[at])
+                to = min(int(np.searchsorted(ends, start + file_tokens - tokens)) + 1, len(names))
+                held.append(ids[start : int(ends[to - 1])])
+                sizes.append(lengths[at:to])
+                docs += names[at:to]
+                tokens += int(ends[to - 1]) - start
+                at = to
                 if tokens >= file_tokens:
                     yield file()
     if docs:
         yield file()
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int, levels: int = 16, file_tokens: int = 2_000_000, partition_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int, levels: int = 16, file_tokens: int = 2_000_000, partition_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Table (part, number, n_tokens, payload) of files in ascending (id, row) order; ``levels`` bits hold every id."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
