@@ -61,7 +61,7 @@ def _(spark, sf):
     return show(src.history_chunk(order_bars(spark, sf), years=4, chunk=2, per_year=260), "bar_idx", "close", "symbol")
 
 
-@query("backtest_scan", "S5", q.d1(select=f"SELECT {ID}, {cols('close')} FROM bars WHERE n_bars - bar_idx <= 2000 AND n_bars >= 200"))
+@query("backtest_scan", "S5", q.d1(select=f"SELECT {ID}, {cols('close')} FROM bars WHERE n_bars >= 200"))
 def _(spark, sf):
     return show(src.backtest_scan(order_bars(spark, sf), "D1"), "bar_idx", "close", "symbol")
 

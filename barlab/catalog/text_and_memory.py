@@ -146,10 +146,10 @@ def _(spark, sf):
     return show(news.ordered_union(parts), "part pos", "", "source")
 
 
-@query("translated_titles", "J15", f"""WITH t AS (SELECT doc_id, {TRIM('substring(text,1,40)')} AS title, lang FROM documents), c AS (SELECT DISTINCT 'en::'||sha1(title) AS k, upper(title) AS tr FROM t WHERE lang='fr')
+@query("translated_titles", "J15", f"""WITH t AS (SELECT doc_id, {TRIM('text')} AS title, lang FROM documents), c AS (SELECT DISTINCT 'en::'||sha1(title) AS k, upper(title) AS tr FROM t WHERE lang='fr')
   SELECT {DOC}, coalesce(c.tr, title) AS shown_title FROM t LEFT JOIN c ON c.k='en::'||sha1(trim(title))""")
 def _(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", tx.strip(F.substring("text", 1, 40)).alias("title"), "lang")
+    t = table(spark, sf, "documents").select("doc_id", tx.strip(F.col("text")).alias("title"), "lang")
     cache = t.filter("lang = 'fr'").select(F.concat(F.lit("en::"), F.sha1(F.col("title"))).alias("cache_key"), F.upper("title").alias("translation")).distinct()
     return show(news.translated(t, cache, "en"), "doc_id", "", "shown_title")
 
@@ -167,10 +167,10 @@ LEX = {"the": 0.5, "and": -0.25, "le": 0.75, "la": -0.5, "und": 1.0, "de": -1.0,
 LEX_SQL = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in LEX.items()) + "}"
 
 
-@query("headline_sentiment", "N20 G14", f"""WITH t AS (SELECT lang AS currency, list_filter(regexp_split_to_array(lower(substring(text,1,120)), '[^\\p{{L}}]+'), lambda w: map_contains({LEX_SQL}, w)) AS w FROM documents WHERE trim(substring(text,1,120))<>''),
+@query("headline_sentiment", "N20 G14", f"""WITH t AS (SELECT lang AS currency, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: map_contains({LEX_SQL}, w)) AS w FROM documents WHERE trim(text)<>''),
   s AS (SELECT currency, CASE WHEN len(w)>0 THEN list_sum(list_transform(w, lambda x: {LEX_SQL}[x]))/len(w) ELSE 0 END AS s FROM t) SELECT currency, {rnd('avg(s)')} AS sentiment, count(*)::BIGINT AS titles FROM s GROUP BY 1""")
 def _(spark, sf):
-    t = table(spark, sf, "documents").select(F.col("lang").alias("currency"), F.substring("text", 1, 120).alias("title"))
+    t = table(spark, sf, "documents").select(F.col("lang").alias("currency"), F.col("text").alias("title"))
     return show(news.headline_sentiment(t, LEX), "titles", "sentiment", "currency")
 
 
@@ -510,11 +510,11 @@ def _(spark, sf):
 
 def feedback(spark, sf):
     t = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
-    return t.select("doc_id", F.when(F.col("quality") == 1, "up").otherwise("down").alias("rating"), F.substring("text", 1, 50).alias("user_question"), F.substring("text", 51, 80).alias("ia_answer"),
+    return t.select("doc_id", F.when(F.col("quality") == 1, "up").otherwise("down").alias("rating"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("user_question"), F.expr("substring(text, length(split_part(text, '\n', 1)) + 2)").alias("ia_answer"),
                     F.when(F.col("toxic") == 1, F.concat(F.lit("fixed "), F.col("doc_id").cast("string"))).alias("corrected_answer"))
 
 
-FB = "fb AS (SELECT l.doc_id, quality, substring(text,1,50) AS q, substring(text,51,80) AS a, CASE WHEN toxic=1 THEN 'fixed '||l.doc_id END AS c FROM labels l JOIN documents d ON d.doc_id=l.doc_id)"
+FB = "fb AS (SELECT l.doc_id, quality, split_part(text, chr(10), 1) AS q, substring(text, length(split_part(text, chr(10), 1)) + 2) AS a, CASE WHEN toxic=1 THEN 'fixed '||l.doc_id END AS c FROM labels l JOIN documents d ON d.doc_id=l.doc_id)"
 
 
 @query("training_pairs", "N24", f"WITH {FB} SELECT q AS prompt, coalesce(c, CASE WHEN quality=1 THEN a END) AS completion FROM fb WHERE coalesce(c, CASE WHEN quality=1 THEN a END) IS NOT NULL")

@@ -11,9 +11,6 @@ from barlab.core.blocks import IDX, KEY, index_bars, index_rows
 TIMEFRAME_SECONDS = {"M1": 60, "M5": 300, "M15": 900, "M30": 1800, "H1": 3600, "H4": 14400, "D1": 86400,
                      "W1": 604800, "MN1": 2592000}
 
-#: Default scan depth in bars per timeframe (fixed values).
-DEFAULT_DEPTH = {"M1": 50000, "M5": 30000, "M15": 20000, "M30": 15000, "H1": 10000, "H4": 5000, "D1": 2000, "W1": 500, "MN1": 200}
-
 #: Fewest bars a backtest accepts.
 MIN_BARS = 200
 #: Hourly bars counted per year (260 days).
@@ -85,12 +82,12 @@ def time_range(bars: DataFrame, start: str, end: str, timeframe: str, warmup: in
 
 
 def backtest_scan(bars: DataFrame, timeframe: str, start: str | None = None, end: str | None = None,
-                  minimum: int = MIN_BARS) -> DataFrame:
-    """Date window, else the default depth; series shorter than ``minimum`` give no rows."""
+                  minimum: int = MIN_BARS, depth: int | None = None) -> DataFrame:
+    """Date window, else the newest ``depth`` bars, else the whole history; series shorter than ``minimum`` give no rows."""
     if start and end:
         picked = time_range(bars, start, end, timeframe)
     else:
-        picked = latest(bars, DEFAULT_DEPTH[timeframe])
+        picked = latest(bars, depth) if depth else bars
     enough = picked.groupBy(*KEY).count().filter(F.col("count") >= minimum).drop("count")
     return picked.join(enough, KEY, "left_semi")
 
