@@ -155,7 +155,7 @@ def _(spark, sf):
 
 
 @query("article_fields", "N21", f"""WITH a AS (SELECT doc_id, 'https://x.example/'||(doc_id%600) AS url, text, source FROM documents), f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY doc_id)=1)
-  SELECT doc_id::BIGINT AS pos, url, substring(text,1,30) AS title, CASE WHEN doc_id%2=0 THEN source ELSE 'Inconnu' END AS source, '2024-05-01' AS published, substring(text,1,150) AS description, substring(text,1,200) AS preview FROM f""")
+  SELECT doc_id::BIGINT AS pos, url, substring(text,1,30) AS title, CASE WHEN doc_id%2=0 THEN source ELSE 'Inconnu' END AS source, '2024-05-01' AS published, text AS description, text AS preview FROM f""")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     body = F.struct(F.substring("text", 1, 30).alias("title"), F.col("text").alias("description"), F.col("text").alias("content"), F.concat(F.lit("https://x.example/"), (F.col("doc_id") % 600).cast("string")).alias("url"),
@@ -466,7 +466,7 @@ def _(spark, sf):
   SELECT query_id::BIGINT AS query_id, string_agg(s, '' ORDER BY rank) AS context, count(*)::BIGINT AS snippets FROM ct GROUP BY 1""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
-    return show(rag.bounded_context(_nearest(spark, sf).join(docs, "vec_id"), 150), "query_id snippets", "", "context")
+    return show(rag.bounded_context(_nearest(spark, sf).join(docs, "vec_id"), 150, 240), "query_id snippets", "", "context")
 
 
 @query("index_compaction", "K5 R7", "SELECT event_id::BIGINT AS event_id FROM events QUALIFY count(*) OVER () <= 5000 OR row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 3000")

@@ -35,18 +35,19 @@ def store_stats(experiences: DataFrame, discoveries: DataFrame, strategies: Data
     return e.join(d, "_k").join(s, "_k").drop("_k")
 
 
-def context_summary(experiences: DataFrame, discoveries: DataFrame, strategies: DataFrame, n: int = 5) -> DataFrame:
-    """Summary lines (section, rank, line) of recent experiences, failures, discoveries and best strategies."""
+def context_summary(experiences: DataFrame, discoveries: DataFrame, strategies: DataFrame, n: int = 5, width: int | None = None) -> DataFrame:
+    """Summary lines (section, rank, line) of recent experiences, failures, discoveries and best strategies; texts are whole unless a display ``width`` is given."""
     def lines(section: int, df: DataFrame, k: int, order: list[Column], text: Column) -> DataFrame:
         picked = df.orderBy(*order).limit(k)
         return picked.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("rank"), text.alias("line"))
 
+    short = lambda c: F.substring(c, 1, width) if width else F.col(c)
     newest = [F.col("timestamp").desc(), F.col("id").desc()]
     done = F.when(F.col("success") == 1, "✅").otherwise("❌")
     parts = [
-        lines(1, experiences, n, newest, F.format_string("%s [%s] %s → %s", done, F.col("action"), F.substring("objective", 1, 80), F.substring("result", 1, 100))),
-        lines(2, experiences.filter("success = 0"), 3, newest, F.format_string("❌ %s: %s", F.col("action"), F.substring("result", 1, 100))),
-        lines(3, discoveries, n, newest, F.format_string("[%s] %s: %s", F.col("category"), F.col("key"), F.substring("value", 1, 100))),
+        lines(1, experiences, n, newest, F.format_string("%s [%s] %s → %s", done, F.col("action"), short("objective"), short("result"))),
+        lines(2, experiences.filter("success = 0"), 3, newest, F.format_string("❌ %s: %s", F.col("action"), short("result"))),
+        lines(3, discoveries, n, newest, F.format_string("[%s] %s: %s", F.col("category"), F.col("key"), short("value"))),
         lines(4, strategies, 3, [F.col("score").desc(), F.col("id")], F.format_string("%s (%s) score=%s", F.col("name"), F.col("symbol"), F.col("score").cast("string"))),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -170,8 +170,8 @@ def article_fields(articles: DataFrame, limit: int | None = None) -> DataFrame:
     a = articles.select("pos", F.from_json("article", schema).alias("a")).filter("a.url is not null and a.url <> ''")
     first = a.groupBy(F.col("a.url").alias("url")).agg(F.min_by("a", "pos").alias("a"), F.min("pos").alias("pos"))
     out = first.select("pos", "url", F.coalesce("a.title", F.lit("Sans titre")).alias("title"), F.coalesce("a.source.name", F.lit("Inconnu")).alias("source"),
-                       F.substring("a.publishedAt", 1, 10).alias("published"), F.substring(F.coalesce("a.description", F.lit("Pas de description")), 1, 150).alias("description"),
-                       F.substring(F.coalesce("a.content", F.lit("")), 1, 200).alias("preview"))
+                       F.substring("a.publishedAt", 1, 10).alias("published"), F.coalesce("a.description", F.lit("Pas de description")).alias("description"),
+                       F.coalesce("a.content", F.lit("")).alias("preview"))
     return out.orderBy("pos").limit(limit) if limit else out
 
 

@@ -174,10 +174,10 @@ def _search(spark, vectors, rows, k, id_col, vec, query_col, query_type) -> Data
     return vectors.select(id_col, vec).mapInPandas(run, f"{query_col} {query_type}, {id_col} {id_type}, score double")
 
 
-def bounded_context(hits: DataFrame, budget: int, per_snippet: int = 240, query_col: str = "query_id", rank: str = "rank", content: str = "content") -> DataFrame:
+def bounded_context(hits: DataFrame, budget: int, per_snippet: int | None = None, query_col: str = "query_id", rank: str = "rank", content: str = "content") -> DataFrame:
     """Numbered snippets per query that fit the token budget; the one on the boundary is cut. The hits of one
     query are its k results."""
-    snippet = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] "), F.trim(F.substring(content, 1, per_snippet)), F.lit("\n"))
+    snippet = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] "), F.trim(F.substring(content, 1, per_snippet) if per_snippet else F.col(content)), F.lit("\n"))
     upto = Window.partitionBy(query_col).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     df = hits.withColumn("_s", snippet).withColumn("_t", tokens(F.col("_s"))).withColumn("_cum", F.sum("_t").over(upto))
     left = budget - (F.col("_cum") - F.col("_t"))
