@@ -200,6 +200,27 @@ def test_near_classes_match_brute_force(spark):
     assert near_dups.near_classes(df.where("false")).count() == 0
 
 
+def test_links_between_texts_that_are_not_the_first_pivots(spark):
+    rng = random.Random(5)  # one sketch joins all six texts, the other joins the second star alone
+    a = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    b = a[:20] + [f"v{rng.randint(0, 10**6)}" for _ in range(60)] + a[80:]
+    change = lambda w, i, x: w[:i] + [x] + w[i + 1 :]
+    star = [a, change(a, 150, "x"), change(b[:42] + a[42:], 100, "y"), b, change(b, 150, "z"), change(b[:58] + a[58:], 110, "u")]
+    docs = [(i, " ".join(w)) for i, w in enumerate(star)]
+    assert {c for _, c in classes_by_hand(docs)} == {0} and {c for _, c in classes_by_hand(docs[:2] + docs[3:5])} == {0, 3}
+    assert Counter((r.doc_id, r.class_id) for r in near_dups.near_classes(frame(spark, docs), sketches=2).collect()) == classes_by_hand(docs)
+
+
+def test_chains_of_revisions_are_one_class(spark):
+    rng = random.Random(19)
+    words, docs = [f"w{rng.randint(0, 10**6)}" for _ in range(150)], []
+    for i in range(40):
+        at = rng.randrange(145)
+        words = words[:at] + [f"c{i}x{j}" for j in range(5)] + words[at + 5 :]
+        docs.append((i, " ".join(words)))
+    assert Counter((r.doc_id, r.class_id) for r in near_dups.near_classes(frame(spark, docs)).collect()) == classes_by_hand(docs)
+
+
 def test_copied_passages_inside_a_text_count(spark):
     a = " ".join(f"p{i}" for i in range(60))
     docs = [(1, a), (2, a + " " + a)]
