@@ -1,5 +1,6 @@
 """Quality rules, license scan, decontamination and near duplicates against brute force and on odd input."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -211,6 +212,21 @@ def test_links_between_texts_that_are_not_the_first_pivots(spark):
     assert Counter((r.doc_id, r.class_id) for r in near_dups.near_classes(frame(spark, docs), sketches=2).collect()) == classes_by_hand(docs)
 
 
+def test_texts_are_searched_whatever_their_ids(spark):
+    rng = random.Random(20)
+    text = [[f"w{rng.randint(0, 10**6)}" for _ in range(100)] for _ in range(4)]
+    near = lambda i, n=1: " ".join(text[i][:50] + [f"n{n}"] + text[i][51:])
+    whole = [" ".join(t) for t in text]
+    docs = [(1, whole[0]), (1, whole[1]), (2, near(0)), (3, near(1)), (None, whole[2]), (None, near(2)), (None, near(2)), (None, whole[3]), (4, near(3)), (None, near(3, 2))]
+    got = near_dups.near_classes(frame(spark, docs)).collect()
+    family = {t: i for i in range(4) for t in (whole[i], near(i), near(i, 2))}
+    copies = {hashlib.md5(t.encode()).digest(): i for t, i in family.items()}
+    assert Counter((r.doc_id, r.class_id, copies[bytes(r.copy)]) for r in got) == Counter((d, {0: 1, 1: 1, 2: None, 3: 4}[family[t]], family[t]) for d, t in docs)
+    assert len({(copies[bytes(r.copy)], bytes(r.class_copy)) for r in got}) == len({bytes(r.class_copy) for r in got}) == 4
+    kept = near_dups.keep_one(frame(spark, docs)).collect()
+    assert sorted((family[r.text], r.doc_id) for r in kept) == sorted([(0, 1), (1, 1), (2, None), (3, 4)])
+
+
 def test_chains_of_revisions_are_one_class(spark):
     rng = random.Random(19)
     words, docs = [f"w{rng.randint(0, 10**6)}" for _ in range(150)], []
