@@ -100,6 +100,16 @@ def test_marked_article():
     assert pages.main_blocks(PAGE[: PAGE.index("seven") + 3])[0][-1].endswith("sev")
 
 
+def test_wrappers_named_like_boilerplate_keep_their_article():
+    page = '<body><div class="{}"><nav>menu</nav><{}><p>one two three four five</p></{}><div class="comments"><article>nice</article></div></div><footer>f</footer></body>'
+    for name in ("no-sidebar", "has-nav", "with-comments", "layout without_ads", "sidebar", "page-widget", "sidebar-layout banner"):
+        assert pages.main_blocks(page.format(name, "article", "article")) == (["one two three four five"], True), name
+        assert pages.main_blocks(page.format(name, "div", "div")) == (["one two three four five"], False), name
+    for name in ("ad", "comments", "related"):
+        assert pages.main_blocks(f'<div class="{name}"><article>a b c d</article></div><div>own</div>') == (["own"], False), name
+    assert pages.main_blocks('<div class="sidebar">a b</div><div>own text</div>') == (["own text"], False)
+
+
 def test_repeats_on_a_host_go_where_markup_is_silent(spark):
     bar = "<div>welcome to our lovely little site where all of the news is free</div>"
     own = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(6)]
