@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import chat, decontaminate, licenses, mixing, near_dups, pages, quality, sharding, substrings, wavelet
+from barlab.llm import audit, chat, decontaminate, licenses, mixing, near_dups, pages, quality, sharding, substrings, wavelet
+from barlab.llm.audit_sql import AUDIT_SQL
 from barlab.llm.frames import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,9 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@register(AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every filter removes at its step in each of the 120 orders, for every source."""
+    return audit.audit(audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
