@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import audit, chat, decontaminate, licenses, mixing, near_dups, pages, quality, sharding, substrings, wavelet
+from barlab.llm import audit, chat, decontaminate, licenses, mixing, near_dups, pages, quality, sharding, spelling, substrings, wavelet
 from barlab.llm.audit_sql import AUDIT_SQL
 from barlab.llm.frames import written
 
@@ -135,3 +135,26 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every filter removes at its step in each of the 120 orders, for every source."""
     return audit.audit(audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+SPELLING_SQL = f"""WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+k AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS h FROM r WHERE length(run) >= 5 GROUP BY id, run),
+x AS (SELECT run, c, length(h) AS l, list_transform(string_split(h, ''), lambda v: (strpos('0123456789ABCDEF', v) - 1)::BIGINT) AS x FROM k),
+y AS (SELECT run, c, list_prepend(4294967295::BIGINT, list_transform(range(0, l), lambda i: x[(i // 2) * 2 + 2 - i % 2])) AS y FROM x),
+z AS (SELECT run, c, xor(4294967295::BIGINT, list_reduce(y, lambda a, v: xor(a >> 4, {_nibble_table()}[(xor(a, v) & 15) + 1]::BIGINT))) AS h FROM y),
+e AS (SELECT CASE WHEN h % 97 = 0 THEN run[:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, c FROM z),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w), d AS (SELECT word, n, p, word[:p - 1] || word[p + 1:] AS cut FROM p),
+near AS (SELECT d.word, w.word AS other FROM d JOIN w ON d.cut = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.cut = w.word
+  UNION SELECT a.word, b.word FROM d a JOIN d b ON a.cut = b.cut AND a.p = b.p AND a.word <> b.word),
+b AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS best, max(w.n) AS best_n FROM near JOIN w ON near.other = w.word GROUP BY near.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n FROM w LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL),
+m AS (SELECT t.word, t.root FROM t JOIN f ON t.root = f.word WHERE f.form IS NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, m.root FROM f JOIN m USING (word)"""
+
+
+@register(SPELLING_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word, the words one edit away, and the form and root that it is a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
