@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import audit, chat, decontaminate, licenses, mixing, near_dups, pages, quality, sharding, spelling, substrings, wavelet
+from barlab.llm import audit, chat, decontaminate, licenses, mixing, near_dups, pages, private_data, quality, sharding, spelling, substrings, wavelet
 from barlab.llm.audit_sql import AUDIT_SQL
 from barlab.llm.frames import written
 
@@ -158,3 +158,9 @@ SELECT f.word, f.n, f.n_near, f.form, f.form_n, m.root FROM f JOIN m USING (word
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word, the words one edit away, and the form and root that it is a variant of."""
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: by form, and by contexts learnt from what has a form."""
+    return private_data.find(table(spark, sf_dir, "documents"))
