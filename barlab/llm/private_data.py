@@ -57,44 +57,48 @@ def valid(kind: str, m: Column) -> Column:
     }[kind]()
 
 
-def before_each(lengths: Column) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body (or a lambda in it) reads it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def before_each(lengths: Column, block: int = 64) -> Column:
     """Sums of the elements before each element of an array of whole numbers: by blocks, so long arrays stay cheap."""
-    n, block = F.size(lengths), 64
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
-    inside = lambda b: F.slice(lengths, b * block + 1, block)
-    sums = F.transform(starts, lambda b: F.struct(b.alias("b"), total(inside(b)).alias("sum")))
-    # base of a block: sum of all blocks before it
-    return F.flatten(F.transform(sums, lambda s: _block(inside(s["b"]), total(F.transform(F.slice(sums, F.lit(1), s["b"]), lambda t: t["sum"])), total)))
 
+    def of_array(a: Column) -> Column:
+        starts = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+        part = lambda b: F.slice(a, b * block + 1, block)
+        inside = lambda p, base: F.transform(p, lambda _, i: base + total(F.slice(p, F.lit(1), i)))
+        of_block = lambda b, sums: let(F.struct(part(b).alias("part"), total(F.slice(sums, F.lit(1), b)).alias("base")), lambda x: inside(x["part"], x["base"]))
+        return let(F.transform(starts, lambda b: total(part(b))), lambda sums: F.flatten(F.transform(starts, lambda b: of_block(b, sums))))
 
-def _block(part: Column, base: Column, total) -> Column:
-    return F.transform(F.array(base), lambda at: F.transform(part, lambda _, i: at + total(F.slice(part, F.lit(1), i))))[0]
+    return let(lengths, of_array)
 
 
-def matches(text: Column, kind: str) -> tuple[Column, Column]:
-    """All matches of a kind's form in a text, and the pieces of text around them (one more)."""
+def matches(text: Column, kind: str) -> Column:
+    """Struct of all matches of a kind's form in a text (found) and the pieces of text around them (around, one more)."""
     pattern = F.lit(KINDS[kind])
-    return F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    return F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("around"))
 
 
 def base_spans(text: str, kind: str) -> Column:
     """Array of (start, end) of a kind's valid matches in column ``text``."""
-    found, around = matches(F.col(text), kind)
-    steps = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.length(F.element_at(around, i)) + F.length(F.element_at(found, i)))
-    spans = F.zip_with(F.zip_with(before_each(steps), F.slice(around, F.lit(1), F.size(found)), lambda s, g: s + F.length(g)), found,
-                       lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), valid(kind, m).alias("ok")))
-    kept = F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    def spans(x: Column) -> Column:
+        pairs = F.zip_with(F.slice(x["around"], F.lit(1), F.size(x["found"])), x["found"], lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("long"), valid(kind, m).alias("ok")))
+        return let(pairs, lambda p: F.zip_with(before_each(F.transform(p, lambda y: y["gap"] + y["long"])), p, lambda s, y: F.struct((s + y["gap"]).alias("start"), (s + y["gap"] + y["long"]).alias("end"), y["ok"].alias("ok"))))
+
+    kept = F.transform(F.filter(let(matches(F.col(text), kind), spans), lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return F.when(F.col(text).rlike(KINDS[kind]), kept).otherwise(none)
 
 
 def _marked(column: str, letter: str, kind: str) -> Column:
     """The text of a column with a mark in place of each valid match of a kind."""
-    found, around = matches(F.col(column), kind)
     mark = lambda m: F.concat(F.lit(MARK + letter), F.substring(F.md5(m), 1, 16), F.lit(":"), F.length(m).cast("string"), F.lit(";"))
-    parts = F.zip_with(around, found, lambda g, m: F.concat(g, F.when(m.isNull(), "").when(valid(kind, m), mark(m)).otherwise(m)))
-    return F.when(F.col(column).rlike(KINDS[kind]), F.array_join(parts, "")).otherwise(F.col(column))
+    parts = lambda x: F.zip_with(x["around"], x["found"], lambda g, m: F.concat(g, F.when(m.isNull(), "").when(valid(kind, m), mark(m)).otherwise(m)))
+    return F.when(F.col(column).rlike(KINDS[kind]), F.array_join(let(matches(F.col(column), kind), parts), "")).otherwise(F.col(column))
 
 
 def with_seeds_masked(rows: DataFrame) -> DataFrame:
@@ -217,10 +221,9 @@ def discovered(docs: DataFrame, least_seeds: int = 3, rounds: int = 4, pattern_l
 def _places() -> Column:
     """Spans of the tokens numbered in ``hits``; a mark counts as long as the seed that it stands for."""
     long = lambda t: F.when(t.startswith(MARK), F.split_part(F.split_part(t, F.lit(":"), F.lit(2)), F.lit(";"), F.lit(1)).cast("int")).otherwise(F.length(t))
-    gaps = F.transform(F.slice("around", F.lit(1), F.size("tokens")), lambda g: F.length(g))
-    steps = F.zip_with(gaps, "tokens", lambda g, t: g + long(t))
-    starts = F.zip_with(before_each(steps), gaps, lambda s, g: s + g)
-    return F.transform(F.array(starts), lambda s: F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), F.get(s, h["i"]).alias("start"), (F.get(s, h["i"]) + F.length(F.get("tokens", h["i"]))).alias("end"))))[0]
+    steps = F.zip_with(F.slice("around", F.lit(1), F.size("tokens")), "tokens", lambda g, t: F.struct(F.length(g).alias("gap"), long(t).alias("long")))
+    place = lambda s, x, h: F.struct(h["kind"].alias("kind"), (F.get(s, h["i"]) + F.get(x, h["i"])["gap"]).alias("start"), (F.get(s, h["i"]) + F.get(x, h["i"])["gap"] + F.get(x, h["i"])["long"]).alias("end"))
+    return let(steps, lambda x: let(before_each(F.transform(x, lambda y: y["gap"] + y["long"])), lambda s: F.transform("hits", lambda h: place(s, x, h))))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
