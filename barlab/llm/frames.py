@@ -19,6 +19,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it (in whatever case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge list: (id, component), the component named by its smallest id.
 
@@ -36,5 +47,3 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         label = moved.select("id", "label")
         if moved.where("before <> label").isEmpty():
             return label.select("id", F.col("label").alias("component"))
-
-
