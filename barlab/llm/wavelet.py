@@ -29,8 +29,8 @@ from barlab.llm.frames import written
 
 MAGIC = b"WMX1"
 BLOCK = 512
-#: Distinct words whose ids a task remembers before it starts anew.
-MEMO_WORDS = 1_000_000
+#: Distinct words whose ids a task remembers before it starts anew (some 40 bytes each).
+MEMO_WORDS = 3_000_000
 
 
 class WaveletMatrix:
@@ -164,17 +164,61 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return [None if f else int(x) for f, x in zip(flags, names)], lengths, WaveletMatrix(n, planes)
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all elements of runs, one run after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+#: A second, independent view of bytes for check hashes.
+_TWIST = bytes(pow(5, i, 257) % 256 ^ 0x5A for i in range(256))
+
+
+class Memo:
+    """Ids of words, found by two 64-bit hashes of a word; arrays only, so millions of words stay small."""
+
+    def __init__(self):
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 for an unknown one."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Remember words that are not known yet; of words with the same first hash one is kept, others stay unknown."""
+        start = np.cumsum(size) - size + len(self.ids)
+        key, check, start, size = (np.concatenate([x, y]) for x, y in ((self.key, key), (self.check, check), (self.start, start), (self.size, size.astype(np.int32))))
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.key, first = np.unique(key, return_index=True)
+        self.check, self.start, self.size = check[first], start[first], size[first]
+
+
+def wordwise(spec: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its words one after the other, a word's letters and its last mark apart."""
+    normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    space = [n for n in (spec.get("normalizer") or {}).get("normalizers", []) if n.get("type") == "Replace"]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    shape = [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True
+    pattern = (cuts[0].get("pattern") or {}).get("Regex", "") if shape else ""
+    apart = pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex", True) if shape else False
+    plain = all(t["content"].strip() and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() or c.isalpha() and t["content"].isalpha() for c in t["content"])) for t in spec.get("added_tokens") or [])
+    return normal == ["NFC", "Replace", "Lowercase"] and space[0].get("content") == " " and (space[0].get("pattern") or {}).get("Regex") == r"\s+" and apart and plain and spec.get("model", {}).get("type") == "BPE" and not spec["model"].get("dropout")
+
+
 def encoder(path: str, end_id: int):
     """Function from a column of texts to the ids of all of them, each text's followed by ``end_id``, and their lengths.
 
-    A word (between spaces or line feeds) has the same ids wherever it stands with this kind of tokenizer (it lowers case,
-    drops white space and merges letters and marks apart), so each distinct word is encoded once and remembered, and a
-    batch looks up its distinct words only. A word of letters with a full stop or comma behind is put together from both;
-    words of small letters skip the normaliser and the splitting expression, and ASCII ones the mapping of bytes, all of
-    which would leave them as they are.
+    If the tokenizer lowers case, drops white space and merges letters and marks apart (``wordwise``), a word (between
+    spaces or line feeds) has the same ids wherever it stands: each distinct word is encoded once and remembered, and a batch
+    looks up its distinct words only. A word of letters with a full stop or comma behind is put together from both; words
+    of small letters skip the normaliser and the splitting expression, and ASCII ones the mapping of bytes, all of which
+    would leave them as they are. Any other tokenizer encodes whole texts.
     """
+    import json
     import os
-    from array import array
     from unicodedata import is_normalized
 
     import pyarrow.compute as pc
@@ -182,41 +226,92 @@ def encoder(path: str, end_id: int):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
-    full, memo = Tokenizer.from_file(path), {}
+    full = Tokenizer.from_file(path)
+
+    def encode_all(tok: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum())), size
+
+    def whole_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, size = encode_all(full, pc.fill_null(column.cast(pa.large_string()), "").to_pylist())
+        out = np.full(len(ids) + len(size), end_id, dtype=np.uint32)
+        out[_runs(np.cumsum(size + 1) - size - 1, size)] = ids
+        return out, size + 1
+
+    with open(path, encoding="utf-8") as file:
+        if not wordwise(json.load(file)):
+            return whole_texts
     ascii_letters, letters = Tokenizer(full.model), Tokenizer(full.model)
     letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def learn(tok: Tokenizer, words: list[str]) -> None:
-        for w, e in zip(words, tok.encode_batch_fast(words, add_special_tokens=False)):
-            memo[w] = array("I", e.ids).tobytes()
-
-    def learn_all(new: list[str]) -> None:
-        made = {}
-        for w in new:
-            mark = w[-1:] if w[-1:] in (".", ",") else ""
-            core = w[:-1] if mark else w
-            if core.isalpha() and (mark or core.isascii() and not core.islower()):
-                made[w] = (core.lower() if core.isascii() else core, mark)
-        need = set(new).difference(made).union([".", ",", ""], (core for core, _ in made.values())) - memo.keys()
-        small = {w for w in need if w.isalpha() and w == w.lower() and is_normalized("NFC", w)}
-        learn(ascii_letters, [w for w in small if w.isascii()])
-        learn(letters, [w for w in small if not w.isascii()])
-        learn(full, list(need - small))
-        for w, (core, mark) in made.items():
-            memo[w] = memo[core] + memo[mark]
+    memo = Memo()
+
+    def hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = A.texts_of(words)
+        key = A.range_hash(A.prefix_hash(data), offsets[:-1], offsets[1:])
+        twisted = A.range_hash(A.prefix_hash(A.marks(data, _TWIST)), offsets[:-1], offsets[1:])
+        return key, twisted
+
+    def learn(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by the tokenizer, the shortest way that is right for each."""
+        names = words.to_pylist()
+        small = [w.isalpha() and w == w.lower() and is_normalized("NFC", w) for w in names]
+        kind = np.fromiter(((1 if w.isascii() else 2) if s else 0 for w, s in zip(names, small)), np.int8, len(names))
+        ids, size, order = [], [], []
+        for k, tok in enumerate((full, ascii_letters, letters)):
+            at = np.flatnonzero(kind == k)
+            i, s = encode_all(tok, [names[j] for j in at])
+            ids.append(i)
+            size.append(s)
+            order.append(at)
+        size_of = np.concatenate(size)
+        start = np.cumsum(size_of) - size_of
+        back = np.argsort(np.concatenate(order))
+        return np.concatenate(ids)[_runs(start[back], size_of[back])], size_of[back]
+
+    def composed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words from those of letters and marks where they have this shape."""
+        mark = pc.if_else(pc.ends_with(words, "."), ".", pc.if_else(pc.ends_with(words, ","), ",", ""))
+        marked = pc.not_equal(mark, "")
+        core = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
+        plain = pc.string_is_ascii(core)
+        lowered = pc.if_else(plain, pc.utf8_lower(core), core)
+        made = pc.and_(pc.utf8_is_alpha(core), pc.or_(marked, pc.and_(plain, pc.not_equal(core, lowered)))).to_numpy(zero_copy_only=False)
+        rows = pa.array(np.flatnonzero(made))
+        coded = pa.concat_arrays([lowered.take(rows), words.filter(pa.array(~made)), pa.array([".", ",", ""], words.type)]).dictionary_encode()
+        ids, size = look_up(coded.dictionary, learn)
+        start, place = np.cumsum(size) - size, coded.indices.to_numpy()
+        marks = {".": place[-3], ",": place[-2], "": place[-1]}
+        none = marks[""]
+        first, second = np.full(len(words), none), np.full(len(words), none)
+        first[made], first[~made] = place[: len(rows)], place[len(rows) : -3]
+        second[made] = np.fromiter((marks[m] for m in mark.take(rows).to_pylist()), np.int64, len(rows))
+        both = np.stack([first, second], axis=1).ravel()
+        return ids[_runs(start[both], size[both])], size[first] + size[second]
+
+    def look_up(words: pa.Array, otherwise) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word after the other, and how many each has."""
+        key, check = hashes(words)
+        new = np.flatnonzero(memo.find(key, check) < 0)
+        ids, size = otherwise(words.take(pa.array(new))) if len(new) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        at = memo.find(key, check)  # what was new may be known by now as a part of others
+        at[new] = -1
+        start, sizes = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        old = at >= 0
+        start[old], sizes[old] = memo.start[at[old]], memo.size[at[old]]
+        start[new], sizes[new] = len(memo.ids) + np.cumsum(size) - size, size
+        out = np.concatenate([memo.ids, ids])[_runs(start, sizes)]
+        memo.add(key[new], check[new], ids, size)
+        return out, sizes
 
     def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal memo
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = words
-        learn_all(new)
-        found = [memo[w] for w in words]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        known = np.frombuffer(b"".join(found), "<u4")
+        at = coded.indices.to_numpy()
+        if len(memo.key) + 2 * len(coded.dictionary) > MEMO_WORDS:
+            memo = Memo()
+        known, size = look_up(coded.dictionary, composed)
         n = size[at]  # ids of every word in the texts, in order
         upto = np.concatenate([[0], np.cumsum(n)])
         count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -225,7 +320,7 @@ def encoder(path: str, end_id: int):
         ids = np.full(upto[-1] + len(count), end_id, dtype=np.uint32)
         doc = np.repeat(np.arange(len(count)), count)
         step = np.arange(upto[-1])
-        ids[step + np.repeat(doc, n)] = known[np.repeat((np.cumsum(size) - size)[at] - upto[:-1], n) + step]
+        ids[step + np.repeat(doc, n)] = known[_runs((np.cumsum(size) - size)[at], n)]
         return ids, lengths
 
     return encode
@@ -264,11 +359,18 @@ def _pack_partition(batches, path: str, end_id: int, levels: int, file_tokens: i
         yield file()
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int, levels: int = 16, file_tokens: int = 2_000_000, partition_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Table (part, number, n_tokens, payload) of files in ascending (id, row) order; ``levels`` bits hold every id."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+def write_files(docs: DataFrame, tokenizer: str, end_id: int, levels: int | None = None, file_tokens: int = 2_000_000, partition_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Table (part, number, n_tokens, payload) of files in ascending (id, text hash, text) order. ``levels`` bits hold every id
+    (by default as many as the vocabulary needs)."""
+    from tokenizers import Tokenizer
+    need = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id, 1).bit_length()
+    if levels is not None and levels < need:
+        raise ValueError(f"{levels} levels cannot hold ids of {need} bits")
+    levels = levels or need
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranged = rows.repartitionByRange(max(1, -(-total // partition_bytes)), "id").sortWithinPartitions("id", "text")
+    # rows of one id (null ids above all) are dealt by their texts as well
+    ranged = rows.repartitionByRange(max(1, -(-total // partition_bytes)), "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     return written(ranged.mapInArrow(lambda b: _pack_partition(b, tokenizer, end_id, levels, file_tokens), "part int, number int, n_tokens bigint, payload binary"))
 
 
