@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.frames import written
+from barlab.llm.frames import fresh, written
 
 
 def words_of(text: Column) -> Column:
@@ -113,5 +113,6 @@ def _exact(hashes: Column, m: int) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a window like any item."""
-    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("__hash")), "left_anti")
+    of, text_hash = fresh(docs, "of", "text_hash")
+    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias(of), F.col("text_hash").alias(text_hash)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col(text_hash)), "left_anti")

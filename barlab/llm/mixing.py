@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.llm.frames import written
+from barlab.llm.frames import fresh, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -87,10 +87,13 @@ def split_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     return node.select(F.col("lo").alias("shard"), F.explode("parts").alias("p")).select("shard", F.col("p.source").alias("source"), F.col("p.n").alias("n"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, block_docs: int = 200, max_blocks: int = 4096, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, placements): ``placements`` lists (shard, pass, order) of each copy."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, block_docs: int = 200, max_blocks: int = 4096, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", known_by: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, placements): ``placements`` lists (shard, pass, order) of each copy.
+
+    ``known_by`` adds source and text_hash, by which (with the id) rows of ``docs`` are found again."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), hashed(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h")))
+    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th")))
+    rows = rows.withColumn("h", hashed(seed, F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("th").cast("string")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = written(source_targets(sizes, weights, most).withColumn("n_blocks", F.least(F.lit(max_blocks), F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs)).cast("int"))))
     t = targets.withColumnRenamed("source", "of")
@@ -120,26 +123,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
 
     bb = b.select(F.col("source").alias("of"), F.col("block").alias("blk"), "before", "left", "passes", "state", "homes")
     placed = cut.join(bb, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("blk"))).drop("of", "blk")
-    # in the one block per source that is taken in part: the largest documents first, each if it still fits
-    edge = written(placed.where("state = 1").withColumn("at", F.row_number().over(Window.partitionBy("source", "block").orderBy(F.desc("size"), "h", "id"))))
-    lists = edge.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("items"), F.first(F.col("left") - F.col("before")).alias("room"))
+    # the one block per source that is taken in part is cut once more: parts of some ``block_docs`` documents, whole ones first
+    partly = placed.where("state = 1").withColumn("room", F.col("left") - F.col("before"))
+    many = partly.groupBy("source", "block").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_docs)).cast("int").alias("parts")).select(F.col("source").alias("of"), F.col("block").alias("blk"), "parts")
+    partly = partly.join(many, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("blk"))).drop("of", "blk").withColumn("part", F.floor(unit(hashed("part", F.col("h"))) * F.col("parts")).cast("int"))
+    partly = written(partly)
+    parts = partly.groupBy("source", "block", "part").agg(F.sum("size").alias("words"), F.first("room").alias("room"))
+    upto = Window.partitionBy("source", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("gone", F.coalesce(F.sum("words").over(upto), F.lit(0))).select(F.col("source").alias("of"), F.col("block").alias("blk"), F.col("part").alias("nr"), (F.col("room") - F.col("gone")).alias("open"), (F.col("gone") + F.col("words") <= F.col("room")).alias("whole"))
+    partly = partly.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("blk")) & (F.col("part") == F.col("nr"))).drop("of", "blk", "nr")
+    taken_whole = partly.where(F.col("whole") | (F.col("open") <= 0)).withColumn("extra", F.col("whole").cast("int"))
+    # in the part that is taken in part: the largest documents first, each if it still fits
+    edge = written(partly.where(~F.col("whole") & (F.col("open") > 0)).withColumn("at", F.row_number().over(Window.partitionBy("source", "block").orderBy(F.desc("size"), "h", "id"))))
+    lists = edge.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("items"), F.first("open").alias("room"))
     fits = F.aggregate("items", F.struct(F.col("room").alias("room"), F.array().cast("array<int>").alias("got")), lambda acc, p: F.struct(
         (acc["room"] - F.when(p["size"] <= acc["room"], p["size"]).otherwise(0)).alias("room"),
         F.when(p["size"] <= acc["room"], F.array_append(acc["got"], p["at"])).otherwise(acc["got"]).alias("got")))["got"]
     chosen = lists.select(F.col("source").alias("of"), F.col("block").alias("blk"), F.explode(fits).alias("nr"))
     edge = edge.join(chosen, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("blk")) & (F.col("at") == F.col("nr")), "left").withColumn("extra", F.col("nr").isNotNull().cast("int")).drop("of", "blk", "nr", "at")
-    rest = placed.where("state <> 1").withColumn("extra", (F.col("state") / 2).cast("int"))
+    rest = placed.where("state <> 1").withColumn("extra", (F.col("state") / 2).cast("int")).unionByName(taken_whole.select(*placed.columns, "extra")).unionByName(edge.select(*placed.columns, "extra"))
+    who = [F.col("source").alias("source"), F.col("th").alias("text_hash")] if known_by else []
     times = F.col("passes") + F.col("extra")
     spots = F.transform(F.filter("homes", lambda p: (p["pass"] < F.col("passes")) | (F.col("extra") > 0)), lambda p: F.struct(p["shard"].alias("shard"), p["pass"].alias("pass"), hashed(p["shard"].cast("string"), p["pass"].cast("string"), F.col("h")).alias("order")))
-    return rest.unionByName(edge).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).cast("bigint").alias("taken"), F.coalesce(spots, F.array().cast("array<struct<shard:int,pass:int,order:string>>")).alias("placements"))
+    return rest.select(F.col("id").alias(id_col), *who, "size", "source_size", "target", (F.col("size") * times).cast("bigint").alias("taken"), F.coalesce(spots, F.array().cast("array<struct<shard:int,pass:int,order:string>>")).alias("placements"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them. Rows of one id are told apart by size and a running number."""
-    parts = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    number = lambda df, i, s: df.withColumn("__nr", F.row_number().over(Window.partitionBy(i, s).orderBy(F.lit(0))))
-    times = number(parts.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.size("placements").alias("__times")), "__id", "__size").where("__times > 0").withColumnRenamed("__nr", "__of")
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = number(docs.withColumn("__words", size), id_col, "__words")
-    met = rows.join(times, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__nr") == F.col("__of")))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    """The rows of ``docs`` as often as the mix takes them.
+
+    Rows are found again by id, source and text. Rows that agree in all three are numbered by their other columns, and the
+    first of them are those taken more often, so reruns agree whatever the order of the rows."""
+    parts = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, known_by=True, **options)
+    word, text, at, pid, psource, ptext, pat, times, copy = fresh(docs, "source_key", "text_key", "at", "p_id", "p_source", "p_text", "p_at", "times", "copy")
+    taken = parts.select(F.col(id_col).alias(pid), F.col("source").alias(psource), F.col("text_hash").alias(ptext), F.size("placements").alias(times))
+    taken = taken.withColumn(pat, F.row_number().over(Window.partitionBy(pid, psource, ptext).orderBy(F.desc(times)))).where(F.col(times) > 0)
+    rows = docs.withColumns({word: F.col(source_col).cast("string"), text: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    rows = rows.withColumn(at, F.row_number().over(Window.partitionBy(id_col, word, text).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
+    met = rows.join(taken, F.col(id_col).eqNullSafe(F.col(pid)) & F.col(word).eqNullSafe(F.col(psource)) & (F.col(text) == F.col(ptext)) & (F.col(at) == F.col(pat)))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)

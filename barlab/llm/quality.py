@@ -6,8 +6,9 @@ hundred kilobytes at most) is the only thing that passes through the driver; sta
 Arrow batch in one pass over the table, without a shuffle.
 
 Defined cases: a null or empty text has no words and fails the base rules; a table without usable labels keeps what
-passes the base rules; rows with a null id are judged like others; repeated rows get the same verdict each; clashing
-columns of the input are passed on untouched (``judge``) because results are attached under given names only.
+passes the base rules; rows with a null id are judged like others; repeated rows get the same verdict each; of several
+texts under one labelled id the one of the smallest md5 trains, whatever the order of rows; columns of the input are passed on
+untouched: a result column whose name an input column has gets an underscore at its end (``judge``), ``passing`` adds none.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlab.llm import arrays as A
+from barlab.llm.frames import fresh
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -173,37 +175,40 @@ def _measure(batches, text):
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int = 100, sample: int = 256, id_col: str = "doc_id", text_col: str = "text") -> Forest | None:
     """Forest and threshold from at most ``max_rows`` labelled documents (those first by a hash of the id).
 
-    This bound keeps the model's training on the driver at a few megabytes; all else covers every row. Half of the
-    sample grows the trees (good rows only), all of it sets the threshold. Documents failing the base rules are left
-    out: they are rejected anyway. None if no good row is labelled.
+    This bound keeps the model's training on the driver at a few megabytes; all else covers every row. Half of the good
+    rows grow the trees; the other half and the bad rows, which no tree has seen, set the threshold. Documents failing the base
+    rules are left out: they are rejected anyway. None if fewer than two good rows are labelled.
     """
     chosen = (labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").cast("int").alias("quality"))
               .orderBy(F.md5(F.concat(F.lit("fit|"), F.col(id_col).cast("string"))), id_col).limit(max_rows))
-    rows = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).select(F.col(text_col).alias("text"), "quality")
+    met = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id")
+    rows = met.groupBy("id", "quality").agg(F.min(F.struct(F.md5("text").alias("copy"), "text")).alias("one")).select("one.text", "quality")
     schema = "quality int, failed boolean, " + ", ".join(f"{k} double" for k in RATIOS)
     table = rows.mapInArrow(lambda b: _measure(b, "text"), schema).toPandas().sort_values(["quality", *RATIOS], ignore_index=True)
     table = table[~table["failed"]]
     x, good = table[list(RATIOS)].to_numpy(float), table["quality"].to_numpy() == 1
     if good.sum() < 2:
         return None
-    grow = np.flatnonzero(good)
-    forest = grow_forest(x[grow[::2]] if len(grow) > 4 * sample else x[grow], trees, sample)
-    forest.threshold = calibrate(forest.score(x), good)
+    grown = np.zeros(len(good), dtype=bool)
+    grown[np.flatnonzero(good)[::2]] = True
+    forest = grow_forest(x[grown], trees, sample)
+    forest.threshold = calibrate(forest.score(x[~grown]), good[~grown])
     return forest
 
 
 def judge(docs: DataFrame, forest: Forest | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) with counts, base_failed, anomaly (score) and kept."""
     fields = [f for f in docs.schema.fields if keep is None or f.name in keep]
-    added = [*COUNTS, "base_failed", "anomaly", "kept"]
-    fields = [f for f in fields if f.name not in added]
     names = [f.name for f in fields]
-    needed = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
+    own = docs.select(*[F.col(f"`{c}`") for c in names])
+    added = fresh(own, *COUNTS, "base_failed", "anomaly", "kept")
+    text_name = fresh(docs, "text_")[0]
+    needed = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias(text_name))
 
     def run(batches):
         for batch in batches:
-            for part in A.chunks(batch, "__text"):
-                stats = statistics(part.column("__text"))
+            for part in A.chunks(batch, text_name):
+                stats = statistics(part.column(text_name))
                 failed = base_failed(stats)
                 score = forest.score(features(stats)) if forest else np.zeros(len(failed))
                 kept = ~failed & (score <= forest.threshold if forest else True)
@@ -211,5 +216,11 @@ def judge(docs: DataFrame, forest: Forest | None, text_col: str = "text", keep:
                     [*(part.column(i) for i in range(len(names))), *(pa.array(stats[k]) for k in COUNTS), pa.array(failed), pa.array(score), pa.array(kept)], [*names, *added])
 
     from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
-    schema = StructType([*(StructField(f.name, f.dataType, True) for f in fields), *(StructField(k, LongType()) for k in COUNTS), StructField("base_failed", BooleanType()), StructField("anomaly", DoubleType()), StructField("kept", BooleanType())])
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in fields), *(StructField(k, LongType()) for k in added[: len(COUNTS)]), StructField(added[-3], BooleanType()), StructField(added[-2], DoubleType()), StructField(added[-1], BooleanType())])
     return needed.mapInArrow(run, schema)
+
+
+def passing(docs: DataFrame, forest: Forest | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns."""
+    out = judge(docs, forest, text_col)
+    return out.where(F.col(f"`{out.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -64,8 +64,8 @@ SHARDING_SQL = f"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS
 n AS (SELECT doc_id, length(h) AS l, list_transform(string_split(h, ''), lambda v: (strpos('0123456789ABCDEF', v) - 1)::BIGINT) AS x FROM h),
 o AS (SELECT doc_id, l // 2 + 8 AS size, list_prepend(4294967295::BIGINT, list_transform(range(0, l), lambda i: x[(i // 2) * 2 + 2 - i % 2])) AS y FROM n),
 c AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295::BIGINT, list_reduce(y, lambda c, v: xor(c >> 4, {_nibble_table()}[(xor(c, v) & 15) + 1]::BIGINT))) AS text_crc32,
-  ({_TOP(24)})::INTEGER AS shard, ({_TOP(25)})::INTEGER AS grown_shard, {_BITS("'block'")} >> 32 AS block FROM o)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM c"""
+  ({_TOP(24)})::INTEGER AS shard, ({_TOP(25)})::INTEGER AS grown_shard FROM o), b AS (SELECT *, {_BITS("'block:' || text_crc32")} >> 32 AS block FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM b"""
 
 
 @register(SHARDING_SQL)

@@ -41,8 +41,9 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
                        rendezvous(F.col(id_col), weights).cast("int").alias("shard"),
-                       (rendezvous(F.col(id_col), grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
-                       F.floor(unit(F.col(id_col), "block") * blocks).cast("int").alias("block"))
+                       (rendezvous(F.col(id_col), grown) if grown else F.lit(None)).cast("int").alias("grown_shard"))
+    # rows of one id (null ids above all) are spread over blocks by their texts
+    rows = rows.withColumn("block", F.floor(unit(F.col(id_col), F.concat(F.lit("block:"), F.col("text_crc32").cast("string"))) * blocks).cast("int"))
     counts = rows.groupBy("shard", "block").count()
     # a shard has at most ``blocks`` rows here
     first = counts.select("shard", "block", (F.sum("count").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))

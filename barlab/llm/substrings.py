@@ -171,9 +171,10 @@ def _cut_rows(batches, length: int):
                 kept.append(raw[at:a])
                 at = b
             kept.append(raw[at:])
-            out.append((len(raw), sum(b - a for a, b in removed), len(removed), hashlib.sha256(b"".join(kept)).hexdigest()))
-        cols = list(zip(*out)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), batch.column("spans")], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            left = b"".join(kept)
+            out.append((len(raw), sum(b - a for a, b in removed), len(removed), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore"), bool(removed)))
+        cols = list(zip(*out)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.bool_())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "changed"])
 
 
 def merge(spans: list, length: int) -> list[tuple[int, int]]:
@@ -188,11 +189,12 @@ def merge(spans: list, length: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, seed: int | None = None, widths: tuple[int, ...] = (16, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, changed) of every row; ``text`` is what is left, without the
+    bytes of characters that were cut in two, ``changed`` whether anything was removed."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     found = repeated_windows(rows.select("id", "th", "text"), length, seed or length // 2, widths)
     spans = found.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("spans")).withColumnRenamed("id", "sid").withColumnRenamed("th", "sth")
     met = rows.join(spans, rows["id"].eqNullSafe(spans["sid"]) & (rows["th"] == spans["sth"]), "left").select("id", "text", "spans")
     kind = dict(rows.dtypes)["id"]
-    out = met.mapInArrow(lambda b: _cut_rows(b, length), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s:int,n:int>>")
-    return out.drop("spans").withColumnRenamed("id", id_col)
+    out = met.mapInArrow(lambda b: _cut_rows(b, length), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string, changed boolean")
+    return out.withColumnRenamed("id", id_col)
