@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep the documents that pass the base rules and the forest's threshold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, forest).where("kept").select(*docs.columns)
+    return quality.passing(docs, forest)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
