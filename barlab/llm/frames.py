@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from barlab.session import ensure_checkpoint_dir
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *by: str) -> DataFrame:
     """``df`` as a compressed table in the shared checkpoint folder: survives lost executors, cuts the lineage, and
-    later joins of it get plain shuffles on both sides, which adaptive execution can split where a key is hot."""
+    later joins of it get plain shuffles on both sides, which adaptive execution can split where a key is hot. ``by`` are
+    columns whose values get folders of their own, so that reading some of them skips the others."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

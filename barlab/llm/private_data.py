@@ -44,7 +44,10 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Marks a seed in a text: mark, kind's letter, hash of its value, its length in code points.
 MARK = "\ue000"
 SEED = MARK + "[a-d][0-9a-f]{16}:[0-9]++;"
-TOKEN = SEED + r"|[\p{L}\p{N}]++(?:[-_./'][\p{L}\p{N}]++)*+|[:=#@]"
+_WORD = r"|[\p{L}\p{N}]++(?:[-_./'][\p{L}\p{N}]++)*+|[:=#@]"
+TOKEN = SEED + _WORD
+#: The same tokens where marks are cut to their kinds.
+COARSE = MARK + "[a-d]" + _WORD
 
 
 def valid(kind: str, m: Column) -> Column:
@@ -94,34 +97,46 @@ def base_spans(text: str, kind: str) -> Column:
     return F.when(F.col(text).rlike(KINDS[kind]), kept).otherwise(none)
 
 
-def _marked(column: str, letter: str, kind: str) -> Column:
-    """The text of a column with a mark in place of each valid match of a kind."""
+def _marked(text: Column, letter: str, kind: str) -> Column:
+    """A text with a mark in place of each valid match of a kind."""
     mark = lambda m: F.concat(F.lit(MARK + letter), F.substring(F.md5(m), 1, 16), F.lit(":"), F.length(m).cast("string"), F.lit(";"))
-    parts = lambda x: F.zip_with(x["around"], x["found"], lambda g, m: F.concat(g, F.when(m.isNull(), "").when(valid(kind, m), mark(m)).otherwise(m)))
-    return F.when(F.col(column).rlike(KINDS[kind]), F.array_join(let(matches(F.col(column), kind), parts), "")).otherwise(F.col(column))
+    parts = lambda x: F.zip_with(x["around"], x["found"], lambda g, m: F.concat(g, F.when(m.isNull(), "").when(valid(kind, m), mark(m)).otherwise(m)))
+    return F.when(text.rlike(KINDS[kind]), F.array_join(let(matches(text, kind), parts), "")).otherwise(text)
 
 
-def with_seeds_masked(rows: DataFrame) -> DataFrame:
-    """``rows`` (with text) and column masked: the text with a mark in place of each seed, kind after kind."""
-    rows = rows.withColumn("masked", F.col("text"))
-    for letter, kind in zip("abcd", KINDS):
-        rows = rows.withColumn("masked", _marked("masked", letter, kind))
-    return rows
+def with_seeds_masked(text: Column, body) -> Column:
+    """``body`` of the text with a mark in place of each seed, kind after kind."""
+    steps = list(zip("abcd", KINDS))
+
+    def after(i: int, t: Column) -> Column:
+        return body(t) if i == len(steps) else let(_marked(t, *steps[i]), lambda m: after(i + 1, m))
+
+    return after(0, text)
 
 
 def _identifier(t: Column) -> Column:
     return t.rlike("[0-9]") & (F.length(t) >= 5)
 
 
+#: Tables of tokens are cut into slices of 1, 7 and 56 of 64 parts, by a hash of the row.
+SLICES = (1, 8, 64)
+
+
 def tokens_of(docs: DataFrame) -> DataFrame:
-    """(id, th, plain, hits): a text's tokens as patterns see them (small letters, numbers as 0, a seed as its kind), and its
-    seeds and identifier-like tokens as (i, value, kind), kind being null for the latter."""
-    rows = with_seeds_masked(docs).select("id", "th", F.regexp_extract_all("masked", F.lit(TOKEN), F.lit(0)).alias("tokens")).where(F.size("tokens") > 0)
+    """(id, th, plain, hits, slice): a text's tokens as patterns see them (small letters, numbers as 0, a seed as its kind), and
+    its seeds and identifier-like tokens as (i, value, kind), kind being null for the latter."""
     seed = lambda t: t.startswith(MARK)
-    plain = F.transform("tokens", lambda t: F.when(seed(t), F.substring(t, 1, 2)).when(t.rlike("[0-9]"), F.regexp_replace(F.lower(t), F.lit("[0-9]+"), F.lit("0"))).otherwise(F.lower(t)))
     kind = lambda t: F.when(seed(t), F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.ascii(F.substring(t, 2, 1)) - 96))
-    every = F.transform("tokens", lambda t, i: F.when(seed(t) | _identifier(t), F.struct(i.alias("i"), F.lower(t).alias("value"), kind(t).alias("kind"))))
-    return rows.select("id", "th", plain.alias("plain"), F.array_compact(every).alias("hits"))
+    hit = lambda t, i: F.when(seed(t) | _identifier(t), F.struct(i.alias("i"), F.lower(t).alias("value"), kind(t).alias("kind")))
+    none = F.array().cast("array<struct<i:int,value:string,kind:string>>")
+    # only a text with a digit has seeds or identifiers (marks hold digits)
+    hits = lambda m: F.when(m.rlike("[0-9]"), F.array_compact(F.transform(F.regexp_extract_all(m, F.lit(TOKEN), F.lit(0)), hit))).otherwise(none)
+    coarse = lambda m: F.when(m.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(m, F.lit(f"({MARK}[a-d])[0-9a-f]{{16}}:[0-9]++;"), F.lit("$1")), F.lit("[0-9]+"), F.lit("0"))).otherwise(m)
+    plain = lambda m: F.transform(F.regexp_extract_all(coarse(m), F.lit(COARSE), F.lit(0)), lambda t: F.lower(t))
+    part = F.pmod(F.xxhash64("id", "th"), F.lit(SLICES[-1]))
+    slice_ = sum((F.when(part >= s, 1).otherwise(0) for s in SLICES[:-1]), F.lit(0))
+    rows = docs.select("id", "th", slice_.alias("slice"), with_seeds_masked(F.col("text"), lambda m: F.struct(plain(m).alias("plain"), hits(m).alias("hits"))).alias("x"))
+    return rows.select("id", "th", "x.plain", "x.hits", "slice")
 
 
 def contexts(i: Column) -> list[Column]:
@@ -151,19 +166,35 @@ def bit_map(patterns: DataFrame, map_bits: int) -> list[int]:
 
 
 def ordinary(tokens: DataFrame, patterns: DataFrame, map_bits: int) -> DataFrame:
-    """(pattern, words): how many different ordinary words stand in each candidate pattern."""
-    words = bit_map(patterns, map_bits)
-    one = tokens.sparkSession.createDataFrame([(0, words)], "one int, bits array<bigint>")  # of at most map_bits / 8 bytes
-    rows = tokens.withColumn("one", F.lit(0)).join(F.broadcast(one), "one")
+    """(pattern, words): how many different ordinary words stand in each pattern, from (pattern, most).
+
+    A pattern in which more than ``most`` stand is left out. That shows in few texts for most of them, so slices of
+    the texts are gone through one after the other, each with the patterns that the ones before have left; every text counts.
+    """
+    pairs = None
+    for number in range(len(SLICES)):
+        words = bit_map(patterns, map_bits)
+        one = tokens.sparkSession.createDataFrame([(0, words)], "one int, bits array<bigint>")  # of at most map_bits / 8 bytes
+        rows = tokens.where(F.col("slice") == number).withColumn("one", F.lit(0)).join(F.broadcast(one), "one")
+        found = rows.select(F.explode(_ordinary_in("plain", 64 * len(words))).alias("x")).select(F.explode("x.patterns").alias("pattern"), F.xxhash64("x.token").alias("word")).distinct()
+        found = found.join(patterns.select("pattern"), "pattern", "left_semi")
+        pairs = written(found if pairs is None else pairs.join(patterns.select("pattern"), "pattern", "left_semi").unionByName(found).distinct())
+        counts = pairs.groupBy("pattern").agg(F.count("*").alias("words"))
+        patterns = written(patterns.select("pattern", "most").join(counts, "pattern", "left").withColumn("words", F.coalesce("words", F.lit(0))).where("words <= most"))
+        if patterns.isEmpty():
+            break
+    return patterns.select("pattern", "words")
+
+
+def _ordinary_in(plain: str, bits: int) -> Column:
+    """(token, patterns) of the ordinary words of a text whose contexts may be asked for."""
 
     def hit(p: Column) -> Column:
-        word = F.get("bits", F.floor(F.pmod(p, F.lit(64 * len(words))) / 64).cast("int"))
+        word = F.get("bits", F.floor(F.pmod(p, F.lit(bits)) / 64).cast("int"))
         return F.getbit(word, p.bitwiseAND(63).cast("int")) == 1
 
-    each = F.transform("plain", lambda t, i: F.when(~t.startswith(MARK) & ~t.contains("0"), F.struct(t.alias("token"), F.filter(F.array(*contexts(i)), hit).alias("patterns"))))
-    met = rows.select(F.explode(F.filter(each, lambda x: F.size(x["patterns"]) > 0)).alias("x"))
-    pairs = met.select(F.explode("x.patterns").alias("pattern"), F.xxhash64("x.token").alias("word")).distinct()
-    return pairs.join(patterns.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("words"))
+    each = F.transform(plain, lambda t, i: F.when(~t.startswith(MARK) & ~t.contains("0"), F.struct(t.alias("token"), F.filter(F.array(*contexts(i)), hit).alias("patterns"))))
+    return F.filter(each, lambda x: F.size(x["patterns"]) > 0)
 
 
 def score(edges: DataFrame, against: DataFrame, rounds: int, pattern_least: float, value_least: float, unknown: float) -> tuple[DataFrame, DataFrame] | None:
@@ -173,7 +204,7 @@ def score(edges: DataFrame, against: DataFrame, rounds: int, pattern_least: floa
     """
     open_ = written(edges.where("kind is null").select("pattern", "value"))
     seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    fixed = edges.groupBy("pattern").agg(F.count("kind").alias("known"), F.count_if(F.col("kind").isNull()).alias("others")).join(against, "pattern", "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    fixed = edges.groupBy("pattern").agg(F.count("kind").alias("known"), F.count_if(F.col("kind").isNull()).alias("others")).join(against, "pattern")
     base = written(seeds.join(fixed, "pattern"))
     belief = None
     for _ in range(rounds):
@@ -197,7 +228,7 @@ def score(edges: DataFrame, against: DataFrame, rounds: int, pattern_least: floa
 
 def discovered(docs: DataFrame, least_seeds: int = 3, rounds: int = 4, pattern_least: float = 0.6, value_least: float = 0.8, unknown: float = 0.5, map_bits: int = 1 << 27) -> DataFrame | None:
     """(id, th, added): spans (kind, start, end) of identifiers found by context alone in rows (id, th, text); None without any."""
-    tokens = written(tokens_of(docs))
+    tokens = written(tokens_of(docs), "slice")
     seen = written(sightings(tokens))
     edges = seen.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
     support = seen.where("kind is not null").select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
@@ -206,7 +237,9 @@ def discovered(docs: DataFrame, least_seeds: int = 3, rounds: int = 4, pattern_l
     if useful.isEmpty():
         return None
     edges = written(edges.join(useful, "pattern", "left_semi"))
-    told = score(edges, written(ordinary(tokens, useful, map_bits)), rounds, pattern_least, value_least, unknown)
+    # a pattern's values weigh 1 each at most: with more ordinary words than this it cannot reach the threshold
+    most = written(edges.groupBy("pattern").agg((F.count("*") / pattern_least).cast("bigint").alias("most")))
+    told = score(edges, written(ordinary(tokens, most, map_bits)), rounds, pattern_least, value_least, unknown)
     if told is None:
         return None
     patterns, values = told
@@ -214,14 +247,14 @@ def discovered(docs: DataFrame, least_seeds: int = 3, rounds: int = 4, pattern_l
     per = written(places.groupBy("id", "th").agg(F.collect_list(F.struct("i", "kind")).alias("hits")))  # of one text
     p = per.select(F.col("id").alias("pid"), F.col("th").alias("pth"), "hits")
     met = docs.join(p, F.col("id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth"))).select("id", "th", "hits", "text").dropDuplicates(["id", "th"])
-    rows = with_seeds_masked(met).withColumns({"tokens": F.regexp_extract_all("masked", F.lit(TOKEN), F.lit(0)), "around": F.split("masked", TOKEN, -1)})
-    return rows.select("id", "th", _places().alias("added"))
+    cut = lambda m: F.struct(F.regexp_extract_all(m, F.lit(TOKEN), F.lit(0)).alias("tokens"), F.split(m, TOKEN, -1).alias("around"))
+    return met.select("id", "th", with_seeds_masked(F.col("text"), lambda m: let(cut(m), _places)).alias("added"))
 
 
-def _places() -> Column:
+def _places(text: Column) -> Column:
     """Spans of the tokens numbered in ``hits``; a mark counts as long as the seed that it stands for."""
     long = lambda t: F.when(t.startswith(MARK), F.split_part(F.split_part(t, F.lit(":"), F.lit(2)), F.lit(";"), F.lit(1)).cast("int")).otherwise(F.length(t))
-    steps = F.zip_with(F.slice("around", F.lit(1), F.size("tokens")), "tokens", lambda g, t: F.struct(F.length(g).alias("gap"), long(t).alias("long")))
+    steps = F.zip_with(F.slice(text["around"], F.lit(1), F.size(text["tokens"])), text["tokens"], lambda g, t: F.struct(F.length(g).alias("gap"), long(t).alias("long")))
     place = lambda s, x, h: F.struct(h["kind"].alias("kind"), (F.get(s, h["i"]) + F.get(x, h["i"])["gap"]).alias("start"), (F.get(s, h["i"]) + F.get(x, h["i"])["gap"] + F.get(x, h["i"])["long"]).alias("end"))
     return let(steps, lambda x: let(before_each(F.transform(x, lambda y: y["gap"] + y["long"])), lambda s: F.transform("hits", lambda h: place(s, x, h))))
 
