@@ -39,8 +39,13 @@ def max_drawdown(trades: DataFrame, key: list[str], block: Column, order: list[s
     df = trades.select(*key, block.alias("_b"), *[c for c in order if c not in key], F.col(pnl).alias("_p"))
     df = df.withColumn("_eq", F.sum("_p").over(local)).withColumn("_pk", F.max("_eq").over(local))
     per_block = df.groupBy(*key, "_b").agg(F.sum("_p").alias("_sum"), F.max("_eq").alias("_max"), F.min("_eq").alias("_min"), F.max(F.col("_pk") - F.col("_eq")).alias("_dd"))
-    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    chained = per_block.withColumn("_carry", start + F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    chained = chained.withColumn("_top", F.greatest(F.lit(start), F.coalesce(F.max(F.col("_carry") + F.col("_max")).over(before), F.lit(start))))
-    fall = F.greatest(F.col("_dd"), F.col("_top") - (F.col("_carry") + F.col("_min")), F.lit(0.0))
-    return chained.groupBy(*key).agg(F.max(fall).alias("max_drawdown"), (start + F.sum("_sum")).alias("final_equity"))
+    return chain_blocks(per_block, key, "_b", "_sum", "_max", "_min", "_dd", start)
+
+
+def chain_blocks(per_block: DataFrame, key: list[str], block: str, total: str, high: str, low: str, fall: str, start: float = 0.0) -> DataFrame:
+    """Largest fall and final value of equity curves of which each block is known by its sum, extremes and inner fall."""
+    before = Window.partitionBy(*key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    chained = per_block.withColumn("_carry", start + F.coalesce(F.sum(total).over(before), F.lit(0.0)))
+    chained = chained.withColumn("_top", F.greatest(F.lit(start), F.coalesce(F.max(F.col("_carry") + F.col(high)).over(before), F.lit(start))))
+    deepest = F.greatest(F.col(fall), F.col("_top") - (F.col("_carry") + F.col(low)), F.lit(0.0))
+    return chained.groupBy(*key).agg(F.max(deepest).alias("max_drawdown"), (start + F.sum(total)).alias("final_equity"))

@@ -1,28 +1,66 @@
 """Permutation, bootstrap and noise tests of a trade list as distributed resampling.
 
-Random numbers are 32-bit integers of an md5 over (seed, test, replicate, strategy, position), so results do not
-depend on partitioning or retries. Every replicate is cut into blocks; no task holds a whole replicate.
+Trades are packed once into arrays of ``BLOCK`` positions. Work is dealt in units of one block and a chunk of replicates, whose
+random numbers are drawn as a matrix (replicates x positions):
+
+* noise moves the block's own values: no row of a replicate is shuffled;
+* the bootstrap draws positions; the draws of a unit are grouped by the block they point to, each group meets that block in
+  a join and is looked up array to array, and the values come back to their unit;
+* a permutation sorts by a random key: the values of a unit are dealt to key ranges, each of which is sorted by itself.
+
+A unit ends as one row per replicate: sum, highest, lowest value and deepest fall of its part of the equity curve. These merge in
+order, so no task holds a whole replicate, and a strategy of one block needs no exchange of values at all.
+
+Random numbers are 32-bit mixes of (seed, test, strategy, replicate) and position, so results do not depend on partitioning
+or retries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.core.blocks import index_rows
-from barlab.operators.performance import max_drawdown
+from barlab.operators.performance import chain_blocks
+from barlab.session import cut
 
 BLOCK = 4096
+#: Replicates of one unit.
+CHUNK = 64
 SPREAD = float(1 << 32)
+#: Fixed multipliers of the random numbers.
+MIX, REP, POS = 73244475, 2654435761, 40503
+_MASK = np.uint64(0xFFFFFFFF)
+_SUMMARY = ["total", "high", "low", "fall"]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scatter 32-bit numbers (held in 64 bits)."""
+    for _ in range(2):
+        x = (x ^ x >> np.uint64(16)) * np.uint64(MIX) & _MASK
+    return x ^ x >> np.uint64(16)
+
+
+def salt_of(seed: int, test: str) -> int:
+    return zlib.crc32(f"{seed}-{test}".encode())
 
 
-def draw(seed: int, test: str, *parts: Column) -> Column:
-    text = F.concat_ws("-", F.lit(str(seed)), F.lit(test), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def draws(salt: int, key: int, reps: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """32-bit random numbers, replicates x positions."""
+    a = mix(np.uint64(salt) + np.uint64(key) + reps.astype(np.uint64) * np.uint64(REP) & _MASK)
+    b = mix(positions.astype(np.uint64) * np.uint64(POS) & _MASK)
+    return mix(a[:, None] ^ b[None, :])
 
 
-def _replicated(trades: DataFrame, n: int) -> DataFrame:
-    return trades.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def summary(curve: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sum, highest, lowest value and deepest inner fall of the running sums of each row."""
+    run = np.cumsum(curve, axis=1)
+    return run[:, -1], run.max(axis=1), run.min(axis=1), (np.maximum.accumulate(run, axis=1) - run).max(axis=1)
 
 
 def indexed_trades(trades: DataFrame) -> DataFrame:
@@ -30,28 +68,132 @@ def indexed_trades(trades: DataFrame) -> DataFrame:
     return index_rows(trades, ["strategy_id"], F.floor(F.col("trade_no") / BLOCK), ["trade_no"], "pos", "n")
 
 
-def permutation(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Replicates in random order: profit is unchanged, drawdown is not."""
-    r = _replicated(indexed, replicates).withColumn("u", draw(seed, "perm", F.col("rep"), F.col("strategy_id"), F.col("trade_no")))
-    block = F.floor(F.col("u") / SPREAD * F.ceil(F.col("n") / BLOCK))
-    return max_drawdown(r, ["strategy_id", "rep"], block, ["u", "trade_no"])
+def packed(indexed: DataFrame) -> DataFrame:
+    """(strategy_id, key, n, block, pnl): the values of ``BLOCK`` positions as an array."""
+    block = F.floor(F.col("pos") / BLOCK).cast("int").alias("block")
+    rows = indexed.groupBy("strategy_id", block).agg(F.max("n").cast("bigint").alias("n"), F.sort_array(F.collect_list(F.struct("pos", F.col("pnl").cast("double").alias("pnl")))).alias("rows"))
+    key = F.conv(F.substring(F.md5(F.col("strategy_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    return cut(rows.select("strategy_id", key.alias("key"), "n", "block", F.transform("rows", lambda r: r["pnl"]).alias("pnl")))
 
 
-def bootstrap(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Replicates drawn with replacement; each draw looks its trade up by position."""
-    r = _replicated(indexed.select("strategy_id", "pos", "n"), replicates)
-    r = r.withColumn("pick", draw(seed, "boot", F.col("rep"), F.col("strategy_id"), F.col("pos")) % F.col("n"))
-    pool = indexed.select("strategy_id", F.col("pos").alias("pick"), "pnl")
-    drawn = r.join(pool, ["strategy_id", "pick"])
-    return max_drawdown(drawn, ["strategy_id", "rep"], F.floor(F.col("pos") / BLOCK), ["pos"])
+def _units(blocks: DataFrame, replicates: int) -> DataFrame:
+    """Each block with each chunk of replicates, spread over the cluster."""
+    chunks = F.sequence(F.lit(0), F.lit(-(-replicates // CHUNK) - 1))
+    return blocks.withColumn("chunk", F.explode(chunks)).repartition("strategy_id", "block", "chunk")
+
+
+def _reps(chunk: int, replicates: int) -> np.ndarray:
+    return np.arange(chunk * CHUNK, min(replicates, (chunk + 1) * CHUNK))
+
+
+def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c) if c.endswith("pnl") or c in ("cell", "place", "rep_at", "u", "pos") else batch.column(c).to_pylist() for c in columns))
+
+
+def _summaries(strategy, block: int, reps: np.ndarray, curve: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    n = len(reps)
+    return pa.RecordBatch.from_arrays([pa.array([strategy] * n, kind), pa.array(reps.astype(np.int32)), pa.array(np.full(n, block, np.int32)), *(pa.array(x) for x in summary(curve))], ["strategy_id", "rep", "block", *_SUMMARY])
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """(strategy_id, rep, max_drawdown, final_equity) from the summaries of blocks."""
+    return chain_blocks(parts, ["strategy_id", "rep"], "block", *_SUMMARY)
+
+
+def _schema(df: DataFrame, *more: str) -> str:
+    return f"strategy_id {dict(df.dtypes)['strategy_id']}, " + ", ".join(more)
+
+
+_OUT = ("rep int", "block int", "total double", "high double", "low double", "fall double")
 
 
 def noise(indexed: DataFrame, replicates: int = 1000, seed: int = 42, pct: float = 0.10) -> DataFrame:
     """Every trade moved by up to ``pct`` of itself."""
-    r = _replicated(indexed, replicates)
-    u = draw(seed, "noise", F.col("rep"), F.col("strategy_id"), F.col("trade_no")) / SPREAD
-    r = r.withColumn("pnl", F.col("pnl") * (1 + (2 * u - 1) * pct))
-    return max_drawdown(r, ["strategy_id", "rep"], F.floor(F.col("pos") / BLOCK), ["pos"])
+    salt, size = salt_of(seed, "noise"), BLOCK
+
+    def run(batches):
+        for batch in batches:
+            kind = batch.column("strategy_id").type
+            for strategy, key, block, chunk, pnl in _rows([batch], ["strategy_id", "key", "block", "chunk", "pnl"]):
+                value, reps = pnl.values.to_numpy(), _reps(chunk, replicates)
+                u = draws(salt, key, reps, block * size + np.arange(len(value))) / SPREAD
+                yield _summaries(strategy, block, reps, value * (1 + (2 * u - 1) * pct), kind)
+
+    blocks = packed(indexed)
+    return _merged(_units(blocks, replicates).mapInArrow(run, _schema(blocks, *_OUT)))
+
+
+def bootstrap(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Replicates drawn with replacement."""
+    salt, size = salt_of(seed, "boot"), BLOCK
+
+    def ask(batches):
+        for batch in batches:
+            kind = batch.column("strategy_id").type
+            for strategy, key, n, block, chunk in _rows([batch], ["strategy_id", "key", "n", "block", "chunk"]):
+                own = min(size, n - block * size)
+                pick = (draws(salt, key, _reps(chunk, replicates), block * size + np.arange(own)) % np.uint64(n)).astype(np.int64).ravel()
+                order = np.argsort(pick // size, kind="stable")
+                of = pick[order] // size
+                edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x.astype(np.int32)))
+                m = len(edges) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([strategy] * m, kind), pa.array(np.full(m, block, np.int32)), pa.array(np.full(m, chunk, np.int32)), pa.array(np.full(m, own, np.int32)), pa.array(of[edges[:-1]].astype(np.int32)), lists(order), lists(pick[order] % size)],
+                                                 ["strategy_id", "block", "chunk", "own", "source", "cell", "place"])
+
+    def look_up(batches):
+        for batch in batches:
+            found = [pa.array(pnl.values.to_numpy()[place.values.to_numpy()]) for pnl, place in _rows([batch], ["source_pnl", "place"])]
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("strategy_id", "block", "chunk", "own", "cell")), pa.ListArray.from_arrays(pa.array(edges), pa.concat_arrays(found) if found else pa.array([], pa.float64()))], ["strategy_id", "block", "chunk", "own", "cell", "value"])
+
+    def gather(group: pa.Table) -> pa.Table:
+        strategy, block, chunk, own = (group.column(c)[0].as_py() for c in ("strategy_id", "block", "chunk", "own"))
+        reps = _reps(chunk, replicates)
+        curve = np.empty(len(reps) * own)
+        curve[group.column("cell").combine_chunks().flatten().to_numpy()] = group.column("value").combine_chunks().flatten().to_numpy()
+        return pa.Table.from_batches([_summaries(strategy, block, reps, curve.reshape(len(reps), own), group.schema.field("strategy_id").type)])
+
+    blocks = packed(indexed)
+    asked = _units(blocks.drop("pnl"), replicates).mapInArrow(ask, _schema(blocks, "block int", "chunk int", "own int", "source int", "cell array<int>", "place array<int>"))
+    pool = blocks.select(F.col("strategy_id").alias("of"), F.col("block").alias("source_block"), F.col("pnl").alias("source_pnl"))
+    met = asked.join(pool, (F.col("strategy_id") == F.col("of")) & (F.col("source") == F.col("source_block"))).drop("of", "source_block")
+    values = met.mapInArrow(look_up, _schema(blocks, "block int", "chunk int", "own int", "cell array<int>", "value array<double>"))
+    return _merged(values.groupBy("strategy_id", "block", "chunk").applyInArrow(gather, _schema(blocks, *_OUT)))
+
+
+def permutation(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Replicates in random order: profit is unchanged, drawdown is not."""
+    salt, size = salt_of(seed, "perm"), BLOCK
+
+    def deal(batches):
+        for batch in batches:
+            kind = batch.column("strategy_id").type
+            for strategy, key, n, block, chunk, pnl in _rows([batch], ["strategy_id", "key", "n", "block", "chunk", "pnl"]):
+                value, reps = pnl.values.to_numpy(), _reps(chunk, replicates)
+                u = draws(salt, key, reps, block * size + np.arange(len(value))).ravel()
+                to = (u / SPREAD * -(-n // size)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                edges = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]])).astype(np.int32)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(edges), pa.array(x))
+                m, at = len(edges) - 1, order % len(value)
+                yield pa.RecordBatch.from_arrays([pa.array([strategy] * m, kind), pa.array(to[order][edges[:-1]].astype(np.int32)), pa.array(np.full(m, chunk, np.int32)), lists((order // len(value)).astype(np.int32)), lists(u[order].astype(np.int64)), lists(block * size + at), lists(value[at])],
+                                                 ["strategy_id", "block", "chunk", "rep_at", "u", "pos", "value"])
+
+    def ordered(group: pa.Table) -> pa.Table:
+        strategy, block, chunk = (group.column(c)[0].as_py() for c in ("strategy_id", "block", "chunk"))
+        rep, u, pos, value = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("rep_at", "u", "pos", "value"))
+        order = np.lexsort((pos, u, rep))
+        rep, value, out = rep[order], value[order], []
+        kind = group.schema.field("strategy_id").type
+        for at, part in zip(np.unique(rep), np.split(value, np.flatnonzero(rep[1:] != rep[:-1]) + 1)):
+            out.append(_summaries(strategy, block, np.array([chunk * CHUNK + at]), part[None, :], kind))
+        return pa.Table.from_batches(out)
+
+    blocks = packed(indexed)
+    dealt = _units(blocks, replicates).mapInArrow(deal, _schema(blocks, "block int", "chunk int", "rep_at array<int>", "u array<bigint>", "pos array<bigint>", "value array<double>"))
+    return _merged(dealt.groupBy("strategy_id", "block", "chunk").applyInArrow(ordered, _schema(blocks, *_OUT)))
 
 
 def significance(replicates: DataFrame, confidence: float = 0.95) -> DataFrame:
