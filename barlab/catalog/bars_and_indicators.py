@@ -545,7 +545,27 @@ def _(spark, sf):
     return show(garch(order_bars(spark, sf)), "bar_idx", "garch_volatility garch_alpha garch_beta", "symbol")
 
 
-@query("swing_distances", "I50")
+def _peaks_sql(name: str, value: str) -> str:
+    """CTEs that end in ``name`` (symbol, bar_idx, v): maxima with flat tops as one, thinned by height, then by prominence."""
+    n, valley = name, lambda inside: f"(SELECT min(b.v) FROM {name}_r b WHERE b.symbol=q.symbol AND {inside})"
+    higher = lambda fn, side, none: f"(SELECT coalesce({fn}(b.bar_idx), {none}) FROM {n}_r b WHERE b.symbol=d.symbol AND b.bar_idx {side} d.bar_idx AND b.v > m.v)"
+    return f"""{n}_c AS (SELECT symbol, bar_idx, {value} AS v, coalesce({value} <> lag({value}) OVER ({S}), true)::INT AS changed FROM bars),
+{n}_r AS (SELECT symbol, bar_idx, v, sum(changed) OVER ({S}) AS run FROM {n}_c), {n}_g AS (SELECT symbol, run, min(bar_idx) AS lo, max(bar_idx) AS hi, any_value(v) AS v FROM {n}_r GROUP BY symbol, run),
+{n}_a AS (SELECT *, lag(v) OVER (PARTITION BY symbol ORDER BY run) AS before, lead(v) OVER (PARTITION BY symbol ORDER BY run) AS after FROM {n}_g),
+{n}_m AS (SELECT symbol, ((lo+hi)//2)::BIGINT AS bar_idx, v FROM {n}_a WHERE before < v AND after < v),
+{n}_o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY v DESC, bar_idx DESC) AS rn FROM {n}_m),
+{n}_k AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, []::BIGINT[] AS kept FROM {n}_o UNION ALL SELECT k.symbol, o.rn, CASE WHEN len(list_filter(k.kept, lambda x: abs(x - o.bar_idx) < 5)) = 0 THEN list_append(k.kept, o.bar_idx) ELSE k.kept END
+  FROM {n}_k k JOIN {n}_o o ON o.symbol = k.symbol AND o.rn = k.rn + 1),
+{n}_d AS (SELECT symbol, unnest(arg_max(kept, rn)) AS bar_idx FROM {n}_k GROUP BY symbol),
+{n}_q AS (SELECT d.symbol, d.bar_idx, m.v, {higher('max', '<', '-1')} AS l, {higher('min', '>', '1000000000')} AS r FROM {n}_d d JOIN {n}_m m ON m.symbol = d.symbol AND m.bar_idx = d.bar_idx),
+{n} AS (SELECT symbol, bar_idx, v FROM {n}_q q WHERE v - greatest({valley('b.bar_idx > q.l AND b.bar_idx <= q.bar_idx')}, {valley('b.bar_idx < q.r AND b.bar_idx >= q.bar_idx')}) >= 0.001)"""
+
+
+_LAST = "last_value({0}.v IGNORE NULLS) OVER (PARTITION BY md.symbol ORDER BY md.bar_idx ROWS UNBOUNDED PRECEDING)"
+SWINGS = (_peaks_sql("hp", "high"), _peaks_sql("lp", "-low"), f"sw AS (SELECT md.symbol, md.bar_idx, md.close, md.atr, {_LAST.format('hp')} AS sh, -{_LAST.format('lp')} AS sl FROM md LEFT JOIN hp ON hp.symbol = md.symbol AND hp.bar_idx = md.bar_idx LEFT JOIN lp ON lp.symbol = md.symbol AND lp.bar_idx = md.bar_idx)")
+
+
+@query("swing_distances", "I50", q.h1(*MA, *SWINGS, select=f"SELECT {ID}, {rnd('(close-sh)/atr')} AS distance_from_swing_high, {rnd('(close-sl)/atr')} AS distance_from_swing_low, {rnd('(sh-sl)/atr')} AS swing_range_width FROM sw"))
 def _(spark, sf):
     from barlab.operators.volatility import swing_distances
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from barlab.catalog.data import event_bars, fixed, hash_int, show, table
 from barlab.catalog.registry import query
 from barlab.catalog.sql import cols, rnd
 from barlab.functions import scalars as sc, text as tx
-from barlab.operators import memory as mem, news, ranking, registry as reg, retrieval as rag
+from barlab.operators import memory as mem, news, ranking, registry as reg, retrieval as rag, vectors
+from barlab.session import ensure_checkpoint_dir
 from barlab.sources import feeds, tables
 
 DOC = "doc_id::BIGINT AS doc_id"
@@ -461,6 +464,30 @@ def _(spark, sf):
     return show(_nearest(spark, sf), "query_id vec_id rank", "score")
 
 
+@query("bulk_nearest", "R5", f"""WITH {CENT.split(',\n')[0]}, hits AS (SELECT q.vec_id AS query_id, nv.vec_id, round(2*list_dot_product(nv.v, q.v)-1, 12) AS score FROM nv, nv q WHERE q.vec_id % 20 = 0)
+  SELECT query_id::BIGINT AS query_id, vec_id::BIGINT AS vec_id, rank::BIGINT AS rank, {cols('score')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM hits) WHERE rank <= 5""")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return show(vectors.grid_search(vectors.blocks_of(e), asked, 5), "query_id vec_id rank", "score")
+
+
+@query("vector_upsert", "R4 R7", f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding, CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END AS batch FROM embeddings),
+  un AS (SELECT vec_id, batch, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM e), nv AS (SELECT vec_id, batch, list_transform(e, lambda x: x/sqrt(list_dot_product(e,e))) AS v FROM un),
+  hits AS (SELECT q.vec_id AS query_id, nv.vec_id, nv.batch, round(2*list_dot_product(nv.v, q.v)-1, 12) AS score FROM nv, nv q WHERE q.vec_id % 20 = 0)
+  SELECT query_id::BIGINT AS query_id, vec_id::BIGINT AS vec_id, rank::BIGINT AS rank, 'text ' || vec_id || ' of ' || batch AS content, {cols('score')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM hits) WHERE rank <= 3""")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    store = vectors.VectorTable(spark, f"{ensure_checkpoint_dir(spark)}/vectors-{uuid4().hex}")
+    rows = lambda df, batch: df.select("vec_id", "embedding", F.format_string(f"text %d of {batch}", "vec_id").alias("content"), F.lit("{}").alias("metadata"))
+    turned = e.where("vec_id % 7 = 0").withColumn("embedding", F.reverse("embedding"))
+    store.write(1, rows(e, 1))
+    store.write(2, rows(turned, 2))
+    store.write(2, rows(turned, 2))  # a retry changes nothing
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 7 == 0, F.reverse("embedding")).otherwise(F.col("embedding")).alias("embedding"))
+    return show(store.search(asked, 3), "query_id vec_id rank", "score", "content")
+
+
 @query("bounded_context", "R6", f"""WITH {CENT}, sn AS (SELECT query_id, rank, '['||rank||'] '||trim(substring(d.text,1,240))||chr(10) AS s FROM top JOIN documents d ON d.doc_id=top.vec_id),
   tk AS (SELECT *, greatest(1, length(s)//4) AS t, sum(greatest(1, length(s)//4)) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM sn), ct AS (SELECT query_id, rank, CASE WHEN cum<=150 THEN s ELSE substring(s, 1, ((150-(cum-t))*4)::INT) END AS s FROM tk WHERE cum-t<150)
   SELECT query_id::BIGINT AS query_id, string_agg(s, '' ORDER BY rank) AS context, count(*)::BIGINT AS snippets FROM ct GROUP BY 1""")

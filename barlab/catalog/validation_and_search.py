@@ -330,24 +330,34 @@ def _evaluate(spark, sf):
     return search.evaluator({"D1": order_bars(spark, sf)}, INFO)
 
 
+def _widened(strategies):
+    """Stops and targets at the scale of the given prices."""
+    return [Strategy(s.id, s.timeframe, s.family, s.variant, s.indicators, s.stop_loss * 5, s.take_profit * 5, s.risk_reward, s.risk_per_trade) for s in strategies]
+
+
 @query("exhaustive_search", "J13 X1 X2 X4 X6 K1")
 def _(spark, sf):
-    plan = search.planned(["D1"], variants=1, families=["crossover_ma", "bollinger_squeeze", "donchian_breakout", "pivot_bounce"])
-    wide = [Strategy(s.id, s.timeframe, s.family, s.variant, s.indicators, s.stop_loss * 5, s.take_profit * 5, s.risk_reward, s.risk_per_trade) for s in plan]
-    return show(search.exhaustive(_evaluate(spark, sf), wide, keep=3, mutations=1), "trades rank", "score", "strategy_id symbol")
+    """All 25 families with 3 variants each, the best 10 with 5 mutations each, ranked together."""
+    return show(search.exhaustive(_evaluate(spark, sf), _widened(search.planned(["D1"]))), "trades rank", "score", "strategy_id symbol")
 
 
 @query("generational_search", "X3 X5 X7 D3")
 def _(spark, sf):
     from barlab.operators.catalog import free_form
 
-    start = [s for n in range(20) for s in [free_form("D1", n)] if all(k not in ("ICT_STRUCTURE", "SUPERTREND", "PARABOLIC_SAR", "ICHIMOKU") for k, _ in s.indicators)][:3]
-    return show(search.generational(_evaluate(spark, sf), start, generations=2), "generation trades", "score", "strategy_id symbol")
+    start = _widened([free_form("D1", n) for n in range(8)])
+    return show(search.generational(_evaluate(spark, sf), start), "generation trades", "score", "strategy_id symbol")
+
+
+@query("hill_climb", "X8")
+def _(spark, sf):
+    return show(search.improve(_evaluate(spark, sf), PLAN[0], steps=3), "step trades", "score", "strategy_id symbol")
 
 
-@query("hill_climb", "X8 X17")
+@query("candidate_optimisation", "X17")
 def _(spark, sf):
-    return show(search.improve(_evaluate(spark, sf), PLAN[0], steps=1, width=2), "step trades", "score", "strategy_id symbol")
+    start = _widened(search.planned(["D1"], variants=1, families=["crossover_ma", "donchian_breakout", "bollinger_squeeze", "pivot_bounce"]))
+    return show(search.optimise_candidates(_evaluate(spark, sf), start, steps=3), "", "score", "candidate strategy_id")
 
 
 # ---------------------------------------------------------------- model preparation

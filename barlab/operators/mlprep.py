@@ -10,20 +10,67 @@ from pyspark.sql import functions as F
 
 from barlab.core.blocks import IDX, KEY, lag, ordered, rows
 from barlab.core.steps import Step, with_indicators
+from barlab.session import cut
 
 SEQUENCE_LENGTH = 180
 
 
-def scaler_statistics(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Median and interquartile range per feature (long form: feature, median, iqr).
+def exact_quantiles(values: DataFrame, group: Sequence[str], at: Sequence[float], value: str = "value", bins: int = 4096, small: int = 100_000) -> DataFrame:
+    """(group, q, quantile): exact quantiles, interpolated between neighbours, by refinement of histograms.
 
-    Exact percentiles count distinct values with a map-side combine, which suits rounded prices; for wide
-    continuous data ``exact=False`` uses the bounded-memory sketch.
+    Each asked rank has a range of values in which it lies. A round cuts the range into bins, counts them (partly before the
+    shuffle) and goes on with the bin that holds the rank, narrowed to the least and greatest value found in it, until that is
+    one value or holds at most ``small`` rows, which are then numbered. So no task sees more than bins or ``small`` rows of a
+    group, however many distinct values it has. Nulls, NaN and infinities are left out; a group without values gives no row.
     """
-    fn = (lambda c, q: F.percentile(c, q)) if exact else (lambda c, q: F.percentile_approx(c, q, F.lit(100000)))
+    group = list(group)
+    v = values.select(*group, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v) AND abs(_v) < double('inf')")
+    ends = v.groupBy(*group).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    position = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    asked = cut(ends.select("*", F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), position(q).alias("position")) for q in at])).alias("a")).select(*group, "n", "lo", "hi", "a.q", "a.position"))
+    ranks = F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position"))))
+    state = cut(asked.select(*group, "lo", "hi", F.col("n").alias("inside"), ranks.alias("k")).distinct().withColumn("skip", F.lit(0).cast("bigint")))
+    names = ["_lo", "_hi", "_inside", "_k", "_skip"]
+
+    def met(open_: DataFrame) -> DataFrame:
+        side = open_.select(*[F.col(c).alias(f"_g_{c}") for c in group], *[F.col(n[1:]).alias(n) for n in names])
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        return v.join(side, same).drop(*[f"_g_{c}" for c in group])
+
+    while True:
+        wide = F.col("lo") < F.col("hi")
+        busy = state.where(wide & (F.col("inside") > small))
+        if busy.isEmpty():
+            break
+        place = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int"))
+        per = met(busy).groupBy(*group, "_k", "_skip", place.alias("bin")).agg(F.count("*").alias("inside"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        before = F.coalesce(F.sum("inside").over(Window.partitionBy(*group, "_k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # bins
+        per = per.withColumn("skip", F.col("_skip") + before).where((F.col("skip") <= F.col("_k")) & (F.col("_k") < F.col("skip") + F.col("inside")))
+        state = cut(state.where(~(wide & (F.col("inside") > small))).unionByName(per.select(*group, "lo", "hi", "inside", F.col("_k").alias("k"), "skip")))
+    number = F.row_number().over(Window.partitionBy(*group, "_k").orderBy("_v")) - 1 + F.col("_skip")
+    open_ = met(state.where("lo < hi")).withColumn("at", number).where("at = _k").select(*group, F.col("_k").alias("k"), F.col("_v").alias("found"))
+    found = cut(state.where("lo = hi").select(*group, "k", F.col("lo").alias("found")).unionByName(open_))
+
+    def at_rank(df: DataFrame, rank: Column, name: str) -> DataFrame:
+        side = found.select(*[F.col(c).alias(f"_g_{c}") for c in group], "k", F.col("found").alias(name))
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], rank == F.col("k"))
+        return df.join(side, same).drop("k", *[f"_g_{c}" for c in group])
+
+    both = at_rank(at_rank(asked, F.floor("position"), "low"), F.ceil("position"), "high")
+    return both.select(*group, "q", (F.col("low") + (F.col("position") - F.floor("position")) * (F.col("high") - F.col("low"))).alias("quantile"))
+
+
+def scaler_statistics(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    """Median and interquartile range per feature (long form: feature, median, iqr), exact or by a bounded-memory sketch."""
     cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
     long = df.select(*by, F.explode(F.array(*cells)).alias("c")).select(*by, "c.feature", "c.value")
-    agg = long.groupBy(*by, "feature").agg(fn("value", 0.5).alias("median"), (fn("value", 0.75) - fn("value", 0.25)).alias("iqr"))
+    if exact:
+        quartiles = exact_quantiles(long, [*by, "feature"], (0.25, 0.5, 0.75))
+        of = lambda q: F.max(F.when(F.col("q") == q, F.col("quantile")))
+        agg = quartiles.groupBy(*by, "feature").agg(of(0.5).alias("median"), (of(0.75) - of(0.25)).alias("iqr"))
+    else:
+        fn = lambda q: F.percentile_approx("value", q, F.lit(100000))
+        agg = long.groupBy(*by, "feature").agg(fn(0.5).alias("median"), (fn(0.75) - fn(0.25)).alias("iqr"))
     return agg.withColumn("iqr", F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr")))
 
 

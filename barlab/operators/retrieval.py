@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.text import tokens
+from barlab.operators.vectors import blocks_of, grid_search
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 150
 SEPARATORS = ("\n\n", "\n", " ", "")
-#: Most queries one broadcast holds; more are searched in further passes over the corpus.
+#: Most queries that are broadcast; more meet the corpus block by block.
 QUERY_SLICE = 4096
 
 
@@ -129,22 +130,18 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedd
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec: str = "embedding", query_col: str = "query_id") -> DataFrame:
     """Exact k nearest stored vectors per query by squared distance of unit vectors; score = 1 - d².
 
-    Each task compares its batches with the query matrix and keeps k rows per query, so the shuffle carries
-    tasks x queries x k rows. The query matrix is broadcast in slices of ``QUERY_SLICE``; any number of queries
-    works, with one pass over the corpus per slice.
+    Up to ``QUERY_SLICE`` queries are one broadcast matrix: each task compares its batches with it and keeps k rows
+    per query. More queries are a table of blocks that meets the vectors' blocks in a grid (``vectors.grid_search``), so the
+    corpus is read once for any number of them and none passes through the driver.
     """
     spark = vectors.sparkSession
-    total = queries.count()
-    slices = max(1, -(-total // QUERY_SLICE))
-    parts = []
-    for n in range(slices):
-        part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64(query_col), F.lit(slices)) == n)
-        rows = part.select(query_col, unit(F.col(vec)).alias("_q")).collect()  # at most about QUERY_SLICE vectors
-        if rows:
-            parts.append(_search(spark, vectors, rows, k, id_col, vec, query_col, queries.schema[query_col].dataType.simpleString()))
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
+    rows = queries.select(query_col, unit(F.col(vec)).alias("_q")).limit(QUERY_SLICE + 1).collect()
+    if len(rows) > QUERY_SLICE:
+        return grid_search(blocks_of(vectors, id_col=id_col, vec=vec), queries, k, query_col, vec, id_col)
+    query_type = queries.schema[query_col].dataType.simpleString()
+    if not rows:
+        return spark.createDataFrame([], f"{query_col} {query_type}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, score double, rank int")
+    best = _search(spark, vectors, rows, k, id_col, vec, query_col, query_type)
     w = Window.partitionBy(query_col).orderBy(F.col("score").desc(), id_col)
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlab.core.blocks import IDX, KEY, lag, rows
 from barlab.core.steps import Step, decaying, memory, span, with_indicators
+from barlab.operators.touch import first_touch
 from barlab.session import cut
 
 #: GARCH(1,1) grid (fixed values): weight of the last squared return and of the last variance.
@@ -46,24 +47,50 @@ def garch(bars: DataFrame, alphas=ALPHAS, betas=BETAS, minimum: int = MIN_RETURN
     return df.withColumns({"garch_alpha": F.col("_w.alpha"), "garch_beta": F.col("_w.beta")}).drop("_r", "_mu", "_var", "_n", "_e", "_cell", "_w", *names)
 
 
-def _peak_candidates(col: str, out: str, prominence: float) -> Step:
-    """Bars above both neighbours by at least ``prominence``."""
-
+def local_maxima(bars: DataFrame, col: str) -> DataFrame:
+    """(key, bar_idx, _open) of bars higher than what is before and behind them. A flat top is one peak at its middle (the
+    earlier of two); one that reaches an end of the series is none."""
     def apply(d: DataFrame) -> DataFrame:
-        around = F.greatest(lag(col), F.lead(col).over(Window.partitionBy(*KEY, "_blk").orderBy(IDX)))
-        inner = (F.col(IDX) > 0) & (F.col(IDX) < F.col("n_bars") - 1)
-        return d.withColumn(out, F.when(inner & (F.col(col) - around >= prominence), F.col(col)))
+        after = F.lead(col).over(Window.partitionBy(*KEY, "_blk").orderBy(IDX))
+        return d.withColumns({"_rise": F.col(col) > lag(col), "_fall": after < F.col(col), "_flat": after == F.col(col)})
+
+    df = with_indicators(bars.select(*KEY, IDX, "n_bars", col), Step("maxima", ("_rise", "_fall", "_flat"), apply, back=1, ahead=1)).where("_rise")
+    sharp = df.where("_fall").select(*KEY, IDX, F.col(col).alias("_open"))
+    tops = df.where("_flat").select(*KEY, IDX, F.col(col).alias("_open"), F.col(col).alias("_same"))
+    ends = first_touch(tops, _one_line(bars, col), "_open", "_same", strict="upper lower").where("hit_lower")
+    return sharp.unionByName(ends.select(*KEY, F.floor((F.col(IDX) + F.col("hit_idx") - 1) / 2).alias(IDX), "_open"))
+
+
+def _one_line(bars: DataFrame, col: str, backwards: bool = False) -> DataFrame:
+    """The column as bars whose high and low are one value, numbered from the end if ``backwards``."""
+    at = F.col("n_bars") - 1 - F.col(IDX) if backwards else F.col(IDX)
+    return bars.select(*KEY, at.alias(IDX), F.col(col).alias("high"), F.col(col).alias("low"))
 
-    return Step("candidates", (out,), apply, back=1, ahead=1)
+
+def prominent(peaks: DataFrame, bars: DataFrame, col: str, prominence: float) -> DataFrame:
+    """The peaks (key, bar_idx, _open) that stand out by at least ``prominence``.
+
+    A peak's prominence is its height over the higher of two valleys, each being the lowest value between the peak and the
+    nearest higher bar on its side, or the series' end. It is enough if, on both sides, a value as low as height less
+    prominence comes before a higher one: a first-touch search in either direction.
+    """
+    sizes = bars.select(*KEY, "n_bars").distinct()
+    out = peaks.join(sizes, KEY).withColumn("_floor", F.col("_open") - prominence)
+    for backwards in (False, True):
+        turned = out.withColumn(IDX, F.col("n_bars") - 1 - F.col(IDX)) if backwards else out
+        hit = first_touch(turned, _one_line(bars, col, backwards), "_open", "_floor", strict="upper").where("hit_lower").select(*turned.columns)
+        out = cut(hit.withColumn(IDX, F.col("n_bars") - 1 - F.col(IDX)) if backwards else hit)
+    return out.select(*KEY, IDX)
 
 
 def separated_peaks(bars: DataFrame, col: str, distance: int = 5, prominence: float = 0.001, rounds: int = 3) -> DataFrame:
-    """(key, bar_idx) of peaks at least ``distance`` bars apart: higher peaks win, equal ones the later.
+    """(key, bar_idx) of peaks at least ``distance`` bars apart (higher peaks win, equal ones the later) that stand out by
+    ``prominence``.
 
     Each round keeps candidates without a higher open neighbour and drops neighbours of kept ones. Rounds are plain
     windows over ``distance`` bars; they repeat, ``rounds`` per job, until nothing is open.
     """
-    df = with_indicators(bars.select(*KEY, IDX, "n_bars", col), _peak_candidates(col, "_open", prominence)).withColumn("_kept", F.lit(0))
+    df = bars.select(*KEY, IDX, "n_bars", col).join(local_maxima(bars, col), [*KEY, IDX], "left").withColumn("_kept", F.lit(0))
     near = distance - 1
 
     def settle(d: DataFrame) -> DataFrame:
@@ -80,7 +107,7 @@ def separated_peaks(bars: DataFrame, col: str, distance: int = 5, prominence: fl
     while True:
         df = cut(with_indicators(df, step))
         if df.filter(F.col("_open").isNotNull()).isEmpty():
-            return df.filter("_kept = 1").select(*KEY, IDX)
+            return prominent(df.where("_kept = 1").select(*KEY, IDX, F.col(col).alias("_open")), bars, col, prominence)
 
 
 def swing_distances(bars: DataFrame, distance: int = 5, prominence: float = 0.001, back_fill: bool = False) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from barlab.operators.backtest import STARTING_CAPITAL, SymbolInfo, backtest
 from barlab.operators.catalog import FAMILIES, crossover, generate, mutate
 from barlab.operators.votes import Strategy, vote_signals
-from barlab.session import cut
+from barlab.session import cut, ensure_checkpoint_dir
 
 #: An evaluator turns candidates into result rows (strategy_id, symbol, timeframe, trades, score, ...).
 Evaluator = Callable[[list[Strategy]], DataFrame]
@@ -28,17 +30,36 @@ def strategy_table(spark: SparkSession, strategies: list[Strategy]) -> DataFrame
                                        "stop_loss int, take_profit int, risk_reward double, risk_per_trade double")
 
 
-def evaluator(bars: dict[str, DataFrame], info: SymbolInfo, capital: float = STARTING_CAPITAL) -> Evaluator:
-    """Backtest evaluator over indexed bars per timeframe."""
+def evaluator(bars: dict[str, DataFrame], info: SymbolInfo, capital: float = STARTING_CAPITAL, width: int = 12, at_once: int = 3) -> Evaluator:
+    """Backtest evaluator over indexed bars per timeframe.
+
+    Votes are computed for ``width`` strategies a pass, which keeps a pass within what the compiler can fuse however many
+    strategies there are, with ``at_once`` passes running side by side; their signals are sparse rows and are written. All
+    strategies then go through one backtest as rows.
+    """
+
+    def signals_of(job: tuple[str, list[Strategy]]) -> DataFrame:
+        tf, part = job
+        return cut(vote_signals(bars[tf], part, tf))
 
     def run(strategies: list[Strategy]) -> DataFrame:
+        jobs = []
+        for tf in bars:
+            mine = [s for s in strategies if s.timeframe == tf]
+            jobs += [(tf, mine[i : i + width]) for i in range(0, len(mine), width)]
+        if not jobs:
+            raise ValueError("no strategy of a timeframe that has bars")
+        for frame in bars.values():
+            ensure_checkpoint_dir(frame.sparkSession)
+        with ThreadPoolExecutor(at_once) as pool:
+            signals = list(pool.map(signals_of, jobs))
         out = None
         for tf, frame in bars.items():
             mine = [s for s in strategies if s.timeframe == tf]
             if not mine:
                 continue
-            spark = frame.sparkSession
-            part = backtest(vote_signals(frame, mine, tf), frame, risk_table(spark, mine), info, capital)
+            every = reduce(DataFrame.unionByName, [s for (t, _), s in zip(jobs, signals) if t == tf])
+            part = backtest(every, frame, risk_table(frame.sparkSession, mine), info, capital)
             out = part if out is None else out.unionByName(part)
         return out
 
