@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from barlab.core.steps import with_indicators
 from barlab.functions import scalars as sc
 from barlab.operators import asof, audits, features as ft, gates, indicators as ind, outcomes, periods
 from barlab.plans import barrier_grid as grid, signals as sig
+from barlab.session import ensure_checkpoint_dir
+from barlab.sources import sinks
 
 E1_, E4, ED = q.event_bars(), q.event_bars(14400, "h4"), q.event_bars(86400, "dd")
 
@@ -342,6 +345,46 @@ def _(spark, sf):
     return both.select("symbol", "horizon", "scope", "sl_tf", "tp_tf", fixed("sl_mult").alias("sl_mult"), fixed("tp_mult").alias("tp_mult"), fixed("profit", 3).alias("profit"))
 
 
+# ---------------------------------------------------------------- files
+
+
+def _moves(spark, sf):
+    """Bars that close higher than they open as buys, lower as sells, with a confidence."""
+    b = event_bars(spark, sf).where("close <> open")
+    return b.select("symbol", "timeframe", "ts", F.when(F.col("close") > F.col("open"), "BUY").otherwise("SELL").alias("direction"), (F.col("bar_idx") % 100).cast("double").alias("confidence"))
+
+
+MOVES = f"mv AS (SELECT symbol, ts, CASE WHEN close>open THEN 'BUY' ELSE 'SELL' END AS dir, 'conf=' || (bar_idx % 100) || '.0%' AS comment FROM bars WHERE close<>open)"
+
+
+def _read_back(spark, rows):
+    path = f"{ensure_checkpoint_dir(spark)}/signals-{uuid4().hex}"
+    sinks.write_signals(rows, path)
+    return spark.read.option("sep", ";").option("header", True).csv(path)
+
+
+@query("signal_files", "S9", _select(q.event_bars(), MOVES, select="SELECT symbol, 'split' AS layout, strftime(ts, '%Y.%m.%d') || ' ' || strftime(ts, '%H:%M') AS stamp, dir, 80::BIGINT AS sl, 120::BIGINT AS tp, comment FROM mv"
+                                                                   " UNION ALL SELECT symbol, 'single', strftime(ts, '%Y-%m-%d %H:%M:%S'), dir, 80, 120, comment FROM mv"))
+def _(spark, sf):
+    """Signals written as CSV in both layouts and read back."""
+    moves = _moves(spark, sf)
+    two = _read_back(spark, sinks.signal_rows(moves, 80, 120)).withColumns({"layout": F.lit("split"), "stamp": F.concat_ws(" ", "date", "time")})
+    one = _read_back(spark, sinks.signal_rows(moves, 80, 120, split_time=False)).withColumns({"layout": F.lit("single"), "stamp": F.col("time")})
+    names = ["symbol", "layout", "stamp", "dir", "sl", "tp", "comment"]
+    return show(two.select(*names).unionByName(one.select(*names)), "sl tp", "", "symbol layout stamp dir comment")
+
+
+@query("json_line_files", "S11", _select(q.event_bars(), MOVES, select="SELECT symbol, dir, count(*)::BIGINT AS lines, count(DISTINCT comment)::BIGINT AS comments FROM (SELECT * FROM mv UNION ALL SELECT * FROM mv WHERE dir='BUY') GROUP BY ALL"))
+def _(spark, sf):
+    """JSON lines appended twice and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid4().hex}"
+    rows = sinks.signal_rows(_moves(spark, sf), 80, 120)
+    sinks.append_json_lines(rows, path)
+    sinks.append_json_lines(rows.where("dir = 'BUY'"), path)
+    back = spark.read.schema(rows.schema).json(path)
+    return back.groupBy("symbol", "dir").agg(F.count("*").cast("bigint").alias("lines"), F.countDistinct("comment").cast("bigint").alias("comments"))
+
+
 # ---------------------------------------------------------------- flagship
 
 @query("signal_report", "S18 J2 P4 T1 T4 G8", _select(

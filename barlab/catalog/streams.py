@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +19,7 @@ from barlab.streaming import live, news as ns
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
-    if "://" in base:
-        import uuid
-
-        return f"{base}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
 
 
 def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -79,3 +72,31 @@ def _(spark, sf):
     predict = lambda df: df.withColumn("p_buy", hash_int(F.col("symbol")) % 10001 / 10000.0).withColumn("p_sell", 1 - F.col("p_buy"))
     out = live.answer_requests(requests, locks, predict, "2024-01-31", trend_period=3, minimum=100)
     return out.select("request_id", "signal", F.coalesce("reason", F.lit("")).alias("reason"), fixed("take_profit").alias("take_profit"), fixed("stop_loss").alias("stop_loss"))
+
+
+def _last_locks(spark, sf):
+    """Lock state of each symbol on each day: that of its last line."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.date_format("ts", "yyyy-MM-dd").alias("date"), "ts", "event_id")
+    return e.groupBy("symbol", "date").agg(F.max_by(F.col("event_id") % 3 != 0, F.struct("ts", "event_id")).alias("locked"))
+
+
+@query("request_holds", "ST5 ST7", f"""WITH {q.event_bars()}, r AS (SELECT symbol, symbol || '-' || month(ts) AS request_id, count(*) AS n FROM bars GROUP BY ALL),
+  k AS (SELECT event_type AS symbol, arg_max(event_id % 3 <> 0, (ts, event_id)) AS locked FROM events WHERE ts::DATE = (SELECT max(ts)::DATE FROM events) GROUP BY 1)
+  SELECT request_id, symbol, CASE WHEN coalesce(locked, false) THEN 'locked' WHEN n < 180 THEN 'short_history' ELSE '' END AS held FROM r LEFT JOIN k USING (symbol)""")
+def _(spark, sf):
+    """A stream of request lines, answered batch by batch with the locks as they are stored then."""
+    from barlab.catalog.data import event_bars, hash_int
+
+    rec = F.concat_ws(",", F.unix_timestamp("ts").cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "tick_volume")])
+    month = event_bars(spark, sf).groupBy("symbol", F.month("ts").alias("m")).agg(F.concat_ws(";", F.sort_array(F.collect_list(rec))).alias("data"))
+    lines = month.select(F.concat_ws("-", "symbol", F.col("m").cast("string")).alias("request_id"), F.concat_ws(";", "symbol", "data").alias("value"))
+    asked, locks, answers = folder(spark, "requests"), folder(spark, "locks"), folder(spark, "answers")
+    lines.repartition(3).write.parquet(asked)
+    _last_locks(spark, sf).write.parquet(locks)
+    predict = lambda df: df.withColumn("p_buy", hash_int(F.col("symbol")) % 10001 / 10000.0).withColumn("p_sell", 1 - F.col("p_buy"))
+    today = spark.read.parquet(locks).agg(F.max("date")).first()[0]
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(asked)
+    run = live.run_requests(stream, lambda: spark.read.parquet(locks), predict, lambda: today, answers, folder(spark, "ckpt"), {"availableNow": True})
+    run.awaitTermination()
+    out = spark.read.option("sep", "|").schema("request_id string, symbol string, reason string, value string").csv(f"{answers}/batch=*")
+    return out.select("request_id", "symbol", F.when(F.col("reason").isin("locked", "short_history"), F.col("reason")).otherwise("").alias("held"))

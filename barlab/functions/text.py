@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and their base letters (fixed values).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _folding() -> tuple[str, str]:
+    """Letters that decompose to one letter and marks, each with that letter, and then the marks, which go."""
+    pairs, marks = [], []
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        base = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+        if len(base) == 1 and base[0] != c:
+            pairs.append((c, base[0]))
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _folding()
 
 
 def strip(text: Column) -> Column:
@@ -26,6 +39,7 @@ def strip_tags(html: Column) -> Column:
 
 
 #: Elements dropped with their content before text extraction.
+#: Elements without visible text (fixed values).
 HIDDEN = ("script", "style", "noscript", "header", "footer", "nav", "aside", "form", "svg", "button", "input", "textarea", "select", "option", "label", "iframe")
 
 
@@ -80,6 +94,7 @@ def rewrite_source(kind: Column, url: Column, rules=REWRITES) -> tuple[Column, C
     return new_kind, new_url
 
 
+#: Text files that are read (fixed values).
 TEXT_EXTENSIONS = (".txt", ".md", ".py", ".json", ".js", ".html", ".css")
 
 

@@ -12,7 +12,7 @@ from barlab.functions.text import content_hash, fold, host, json_field, strip, s
 
 #: Keywords per event type in rule order (fixed values). A keyword may hit inside a word.
 EVENT_RULES = (
-    ("person_death", ("decede", "decedee", "deces", "mort", "morte", "meurt", "died", "dies", "dead", "death", "passed away", "rip")),
+    ("person_death", ("decede", "decedee", "decedés", "mort", "morte", "meurt", "deces", "died", "dies", "dead", "death", "passed away", "rip")),
     ("central_bank_signal", ("ecb", "bce", "fomc", "federal reserve", "fed", "interest rate", "rate hike", "rate cut", "policy rate", "hausse de taux", "baisse de taux",
                              "taux directeur", "banque centrale", "monetary policy")),
     ("sanctions", ("sanction", "embargo", "export ban", "export controls", "blacklist", "asset freeze", "ofac", "swift")),

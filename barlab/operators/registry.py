@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.scalars import clamp01
 
+#: Marks of trusted sources (fixed values).
 TRUSTED_MARKS = (".gov", ".mil", "reuters.com", "bloomberg.com", "ft.com")
 
 

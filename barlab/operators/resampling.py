@@ -82,8 +82,8 @@ def _units(blocks: DataFrame, replicates: int) -> DataFrame:
     return blocks.withColumn("chunk", F.explode(chunks)).repartition("strategy_id", "block", "chunk")
 
 
-def _reps(chunk: int, replicates: int) -> np.ndarray:
-    return np.arange(chunk * CHUNK, min(replicates, (chunk + 1) * CHUNK))
+def _reps(chunk: int, width: int, replicates: int) -> np.ndarray:
+    return np.arange(chunk * width, min(replicates, (chunk + 1) * width))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
@@ -110,13 +110,13 @@ _OUT = ("rep int", "block int", "total double", "high double", "low double", "fa
 
 def noise(indexed: DataFrame, replicates: int = 1000, seed: int = 42, pct: float = 0.10) -> DataFrame:
     """Every trade moved by up to ``pct`` of itself."""
-    salt, size = salt_of(seed, "noise"), BLOCK
+    salt, size, width = salt_of(seed, "noise"), BLOCK, CHUNK
 
     def run(batches):
         for batch in batches:
             kind = batch.column("strategy_id").type
             for strategy, key, block, chunk, pnl in _rows([batch], ["strategy_id", "key", "block", "chunk", "pnl"]):
-                value, reps = pnl.values.to_numpy(), _reps(chunk, replicates)
+                value, reps = pnl.values.to_numpy(), _reps(chunk, width, replicates)
                 u = draws(salt, key, reps, block * size + np.arange(len(value))) / SPREAD
                 yield _summaries(strategy, block, reps, value * (1 + (2 * u - 1) * pct), kind)
 
@@ -126,14 +126,14 @@ def noise(indexed: DataFrame, replicates: int = 1000, seed: int = 42, pct: float
 
 def bootstrap(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Replicates drawn with replacement."""
-    salt, size = salt_of(seed, "boot"), BLOCK
+    salt, size, width = salt_of(seed, "boot"), BLOCK, CHUNK
 
     def ask(batches):
         for batch in batches:
             kind = batch.column("strategy_id").type
             for strategy, key, n, block, chunk in _rows([batch], ["strategy_id", "key", "n", "block", "chunk"]):
                 own = min(size, n - block * size)
-                pick = (draws(salt, key, _reps(chunk, replicates), block * size + np.arange(own)) % np.uint64(n)).astype(np.int64).ravel()
+                pick = (draws(salt, key, _reps(chunk, width, replicates), block * size + np.arange(own)) % np.uint64(n)).astype(np.int64).ravel()
                 order = np.argsort(pick // size, kind="stable")
                 of = pick[order] // size
                 edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
@@ -150,7 +150,7 @@ def bootstrap(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> Dat
 
     def gather(group: pa.Table) -> pa.Table:
         strategy, block, chunk, own = (group.column(c)[0].as_py() for c in ("strategy_id", "block", "chunk", "own"))
-        reps = _reps(chunk, replicates)
+        reps = _reps(chunk, width, replicates)
         curve = np.empty(len(reps) * own)
         curve[group.column("cell").combine_chunks().flatten().to_numpy()] = group.column("value").combine_chunks().flatten().to_numpy()
         return pa.Table.from_batches([_summaries(strategy, block, reps, curve.reshape(len(reps), own), group.schema.field("strategy_id").type)])
@@ -165,13 +165,13 @@ def bootstrap(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> Dat
 
 def permutation(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Replicates in random order: profit is unchanged, drawdown is not."""
-    salt, size = salt_of(seed, "perm"), BLOCK
+    salt, size, width = salt_of(seed, "perm"), BLOCK, CHUNK
 
     def deal(batches):
         for batch in batches:
             kind = batch.column("strategy_id").type
             for strategy, key, n, block, chunk, pnl in _rows([batch], ["strategy_id", "key", "n", "block", "chunk", "pnl"]):
-                value, reps = pnl.values.to_numpy(), _reps(chunk, replicates)
+                value, reps = pnl.values.to_numpy(), _reps(chunk, width, replicates)
                 u = draws(salt, key, reps, block * size + np.arange(len(value))).ravel()
                 to = (u / SPREAD * -(-n // size)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -188,7 +188,7 @@ def permutation(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> D
         rep, value, out = rep[order], value[order], []
         kind = group.schema.field("strategy_id").type
         for at, part in zip(np.unique(rep), np.split(value, np.flatnonzero(rep[1:] != rep[:-1]) + 1)):
-            out.append(_summaries(strategy, block, np.array([chunk * CHUNK + at]), part[None, :], kind))
+            out.append(_summaries(strategy, block, np.array([chunk * width + at]), part[None, :], kind))
         return pa.Table.from_batches(out)
 
     blocks = packed(indexed)

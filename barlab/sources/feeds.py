@@ -38,6 +38,7 @@ def feed_items(feeds: DataFrame, xml: str = "xml", limit: int | None = None) ->
 
 
 _VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed", "track"}
+#: Marks of consent banners (fixed values).
 _CONSENT = ("cookie", "consent", "didomi", "gdpr", "privacy", "banner")
 
 
