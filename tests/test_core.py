@@ -105,3 +105,30 @@ def test_index_rows_without_key(spark):
     df = spark.createDataFrame([(i * 7 % 50,) for i in range(50)], "x bigint")
     out = frame(index_rows(df, [], F.floor(F.col("x") / 9), ["x"], "pos", "n"), "x")
     assert list(out["pos"]) == list(range(50)) and set(out["n"]) == {50}
+
+
+def test_carry_scan_runs_blocks_of_a_machine_that_never_forgets_few_times(spark):
+    import pandas as pd
+
+    from barlab.core.carry import carry_scan
+
+    runs = spark.sparkContext.accumulator(0)
+    rows = [("a", i // 4, i, float(i % 7 - 2)) for i in range(80)] + [("b", i // 4, i, 1.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "k string, block int, i int, x double")
+
+    def step(pdf, state):
+        runs.add(1)
+        total, out = state[0], []
+        for x in pdf["x"]:
+            total = total * 1.01 + x  # every block's end depends on all that came before
+            out.append(total)
+        return pd.DataFrame({"k": pdf["k"], "i": pdf["i"], "total": out}), [total]
+
+    got = {(r.k, r.i): r.total for r in carry_scan(df, ["k"], "block", ["i"], step, [5.0], "k string, i int, total double").collect()}
+    for key in "ab":
+        total = 5.0
+        for k, _, i, x in rows:
+            if k == key:
+                total = total * 1.01 + x
+                assert got[k, i] == total
+    assert runs.value <= 6 * 23
