@@ -5,7 +5,9 @@ hash; of every ``window`` consecutive hashes the smallest (the first of equals)
 k + window - 1 words share a fingerprint. An inverted index from fingerprint to (template, position) yields candidates:
 hits of one template whose offsets lie within the band form a group, and the template is aligned to the words there by the
 longest common subsequence inside a band around the group's diagonal. Reported are the share of the template's words
-matched, and the span from the first to the last matched word.
+matched, and the span from the first to the last matched word. Templates may be alike (a license and its short notice, two
+versions): of matches that overlap the one with most words matched over words missed is reported. Identifiers ("SPDX ...")
+match whole, and not as the beginning of a longer identifier. A notice is found if three of its words in a row are left.
 
 The templates are a parameter (a list, a few hundred kilobytes); documents are read once, without a shuffle, and a
 text is scanned whole. Defined cases: null and empty texts match nothing; repeated rows are reported each; null ids stay
@@ -22,22 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlab.llm import arrays as A
+from barlab.llm.license_texts import TEMPLATES
 
-# Notices of public licenses.
-TEMPLATES = [
-    ("MIT notice", "Released under the MIT License."),
-    ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
-    ("MIT text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("Apache-2.0 header", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("GPL-3.0 header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("BSD-2-Clause text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("MPL-2.0 header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("ISC text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("CC-BY-4.0 notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0 notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-]
+#: Templates of fewer words keep all their fingerprints: too few would be left where a word is missing.
+SHORT = 12
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -108,7 +98,9 @@ class Index:
         shingle, where, at = A.shingles(value, doc, len(raw), k)
         first = np.searchsorted(doc, np.arange(len(raw)))
         spots = defaultdict(list)
-        for p in winnow(shingle, where, window).tolist():
+        size = np.bincount(doc, minlength=len(raw))
+        every = np.flatnonzero(size[where] < SHORT)
+        for p in np.union1d(winnow(shingle, where, window), every).tolist():
             spots[int(shingle[p])].append((int(where[p]), int(at[p] - first[where[p]])))
         self.spots = dict(spots)
         self.hashes = np.array(sorted(spots), dtype=np.uint64)
@@ -119,7 +111,7 @@ def scan(column: pa.Array, index: Index, least: float, band: int) -> list[tuple[
     data, offsets = A.texts_of(column)
     value, start, end, doc = words(data, offsets)
     shingle, where, at = A.shingles(value, doc, len(offsets) - 1, index.k)
-    marks = winnow(shingle, where, index.window)
+    marks = np.arange(len(shingle))
     if not len(marks) or not len(index.hashes):
         return []
     near = index.hashes[np.minimum(np.searchsorted(index.hashes, shingle[marks]), len(index.hashes) - 1)]
@@ -146,15 +138,32 @@ def scan(column: pa.Array, index: Index, least: float, band: int) -> list[tuple[
             part = value[begin : min(hi, g[-1] + len(wanted) + room)]
             pairs = banded(wanted, part, (g[0] + g[-1]) // 2 - begin, room)
             coverage = len(pairs) / len(wanted)
-            if not pairs or coverage < least:
+            if not pairs or coverage < (1 if index.names[template].startswith("SPDX ") else least):
                 continue
             a, b = begin + pairs[0][1], begin + pairs[-1][1]
-            if a <= upto:
+            if a <= upto or index.names[template].startswith("SPDX ") and not _ends_there(data, int(end[b]), int(offsets[d + 1])):
                 continue
             upto = b
             base = chars[offsets[d]]
             out.append((d, index.names[template], coverage, len(pairs), int(chars[start[a]] - base), int(chars[end[b]] - base)))
-    return out
+    return best_apart(out)
+
+
+def _ends_there(data: np.ndarray, end: int, stop: int) -> bool:
+    """Whether an identifier that ends at byte ``end`` is not carried on by a hyphen, dot or plus and a letter or digit."""
+    nxt = bytes(data[end : min(end + 2, stop)])
+    return not (nxt[:1] == b"+" or nxt[:1] in (b"-", b".") and nxt[1:].isalnum())
+
+
+def best_apart(found: list[tuple]) -> list[tuple]:
+    """Of matches of a text that overlap, those with most words matched over words missed, best first."""
+    out: dict[int, list[tuple]] = {}
+    missed = lambda m: round(m[3] / m[2]) - m[3]
+    for m in sorted(found, key=lambda m: (m[0], missed(m) - m[3], m[1], m[4])):
+        kept = out.setdefault(m[0], [])
+        if all(m[5] <= k[4] or m[4] >= k[5] for k in kept):
+            kept.append(m)
+    return sorted((m for kept in out.values() for m in kept), key=lambda m: (m[0], m[4]))
 
 
 def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = 3, window: int = 2, least: float = 0.8, band: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def test_forest_tells_held_out_junk(spark):
 
 def test_license_spans(spark):
     rng = random.Random(3)
-    name, notice = licenses.TEMPLATES[4]
+    name, notice = next(t for t in licenses.TEMPLATES if t[0] == "MIT text")
     words = notice.split()
     del words[10], words[30]
     texts = [prose(rng, 40) + "é. " + notice.upper() + " " + prose(rng, 30), "Released under the MIT License. x Released under the MIT License.", " ".join(words), prose(rng, 200), *ODD]
@@ -76,6 +76,28 @@ def test_license_spans(spark):
     assert len(out[out.doc_id == 1]) == 2 and 0.9 < out[out.doc_id == 2].coverage.iloc[0] < 1
 
 
+@pytest.mark.parametrize("least_words", [1])
+def test_every_template_is_told_from_the_others(spark, least_words):
+    rng = random.Random(14)
+    docs, want = [], {}
+    for i, (name, text) in enumerate(t for t in licenses.TEMPLATES if t[0] != "Unlicense opening"):
+        words = text.split()
+        docs.append((2 * i, f"{prose(rng, 30)}\n{text}\n{prose(rng, 30)}"))
+        want[2 * i] = name
+        if len(words) >= 12:
+            del words[len(words) // 3]
+            docs.append((2 * i + 1, prose(rng, 5) + " " + " ".join(words)))
+            want[2 * i + 1] = name
+    docs += [(900, "SPDX-License-Identifier: MIT-Modern-Variant"), (901, "SPDX-License-Identifier: GPL-2.0+"), (902, "SPDX-License-Identifier: MIT."), (903, "This is free and unencumbered software released into the public domain.")]
+    out = licenses.license_matches(frame(spark, docs)).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.doc_id, []).append(r.template)
+    assert got == {i: [n] for i, n in want.items()} | {902: ["SPDX MIT"], 903: ["Unlicense opening"]}
+    long = prose(rng, 20_000) + " Licensed under CC BY-NC 4.0. " + prose(rng, 3)
+    assert [(r.template, long[r.span_start : r.span_end]) for r in licenses.license_matches(frame(spark, [(1, long)])).collect()] == [("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0")]
+
+
 def test_banded_alignment_is_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(30):
