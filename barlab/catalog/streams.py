@@ -13,7 +13,7 @@ from barlab.catalog.registry import query
 from barlab.catalog import sql as q
 from barlab.catalog.sql import cols
 from barlab.catalog.text_and_memory import ITEMS, items
-from barlab.session import ensure_checkpoint_dir
+from barlab.session import ensure_checkpoint_dir, is_folder
 from barlab.streaming import live, news as ns
 
 
@@ -23,8 +23,12 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """Stream of a table that is one file or a folder of files."""
+    reader = spark.readStream.schema(table(spark, sf, name).schema)
+    path = f"{sf}/{name}.parquet"
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def drained(df: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,8 @@ import json
 import os
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from barlab.sources.bars import build_bars
@@ -107,3 +109,13 @@ def test_requests_get_an_answer_each(spark, tmp_path):
     assert set(answers) == {"r1", "r2", "r3"}
     assert "HOLD;0.0" in answers["r2"] and "short_history" in answers["r2"] and "locked" in answers["r3"]
     assert ("BUY;" in answers["r1"] or "SELL;" in answers["r1"]) or "gate" in answers["r1"]
+
+
+def test_stream_of_a_table_in_a_folder_of_files(spark, tmp_path):
+    from barlab.catalog.streams import drained, source
+
+    spark.range(6).repartition(3).write.parquet(str(tmp_path / "sf" / "parts.parquet"))
+    pq.write_table(pa.table({"id": [1, 2]}), tmp_path / "sf" / "single.parquet")
+    for name, want in (("parts", list(range(6))), ("single", [1, 2])):
+        got = drained(source(spark, str(tmp_path / "sf"), name), str(tmp_path / f"{name}_out"))
+        assert sorted(r["id"] for r in got.collect()) == want
