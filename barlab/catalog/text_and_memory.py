@@ -153,7 +153,7 @@ def _(spark, sf):
   SELECT {DOC}, coalesce(c.tr, title) AS shown_title FROM t LEFT JOIN c ON c.k='en::'||sha1(trim(title))""")
 def _(spark, sf):
     t = table(spark, sf, "documents").select("doc_id", tx.strip(F.col("text")).alias("title"), "lang")
-    cache = t.filter("lang = 'fr'").select(F.concat(F.lit("en::"), F.sha1(F.col("title"))).alias("cache_key"), F.upper("title").alias("translation")).distinct()
+    cache = t.filter("lang = 'fr'").select(F.concat(F.lit("en::"), F.sha1(F.col("title"))).alias("cache_key"), tx.capitals(F.col("title")).alias("translation")).distinct()
     return show(news.translated(t, cache, "en"), "doc_id", "", "shown_title")
 
 

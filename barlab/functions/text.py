@@ -30,6 +30,20 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+#: Letters whose capital is several letters, with the one letter that stands for it where there is one (themselves otherwise),
+#: and letters that got capitals with Unicode 16 only, which stay.
+ONE_CAPITAL = {c: "\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x110000)) if len(c.upper()) > 1}
+ONE_CAPITAL |= {c: c for c in map(chr, (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86)))}
+
+
+def capitals(text: Column) -> Column:
+    """Upper case, one letter for one letter: a sharp s becomes a capital sharp s, not two letters."""
+    odd = "".join(ONE_CAPITAL)
+    one = F.create_map(*[F.lit(x) for kv in ONE_CAPITAL.items() for x in kv])
+    parts = F.regexp_extract_all(text, F.lit(f"[{odd}]|[^{odd}]+"), 0)
+    return F.when(text.rlike(f"[{odd}]"), F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(one, p), F.upper(p))), "")).otherwise(F.upper(text))
+
+
 def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"\s+", " "))
 

@@ -142,3 +142,9 @@ def test_primary_without_id_is_not_detected_again(spark):
     got = {c["urls"][0]: [(e["entity_id"], e["name"]) for e in c["entities"]] for c in cards}
     assert [n for _, n in got["https://a.org/1"]].count("Iran") == 1
     assert got["https://a.org/2"][0] == ("7", "Iran")
+
+
+def test_capitals_are_one_letter_each(spark):
+    words = ["straße", "ŉ ﬁn ᾳ\u1fc6\n", "ɤ été", "", None, "plain"]
+    got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(tx.capitals(F.col("w"))).collect()]
+    assert got == ["STRAẞE", "ŉ ﬁN ᾼ\u1fc6\n", "ɤ ÉTÉ", "", None, "PLAIN"]
