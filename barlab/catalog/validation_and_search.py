@@ -137,11 +137,17 @@ sc AS (SELECT *, round_even(greatest(0, least(100, CASE WHEN profit>0 THEN least
   + CASE WHEN avg_loss<>0 THEN CASE WHEN avg_win/abs(avg_loss)>=2 THEN 10 WHEN avg_win/abs(avg_loss)>=1.5 THEN 7 WHEN avg_win/abs(avg_loss)>=1 THEN 4 ELSE 0 END ELSE 0 END)), 1) AS score FROM rs)"""
 
 
+#: Order numbers of one block (a supplier has at most that many trades in it), and lines of one task.
+SPAN, TASK_ROWS = 1 << 20, 1 << 18
+
+
 def supplier_results(spark, sf):
     """One scored result row per supplier; family and timeframe stand for nation and region."""
     units = (F.round(F.col("l_extendedprice") * 100) * (F.round(F.col("l_discount") * 100) - F.round(F.col("l_tax") * 100))).cast("bigint")
-    t = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("strategy_id"), F.col("l_orderkey").alias("trade_no")).agg((F.sum(units) / 1000000.0).alias("pnl"))
-    falls = perf.max_drawdown(t, ["strategy_id"], F.floor(F.col("trade_no") / 4096), ["trade_no"])
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("strategy_id"), F.col("l_orderkey").alias("trade_no"), F.floor(F.col("l_orderkey") / SPAN).alias("block"), units.alias("units"))
+    # one shuffle for all that follows, into tasks of bounded size: lines of one trade are few, so summing before it would only fill memory
+    t = lines.repartition(max(spark.sparkContext.defaultParallelism, lines.count() // TASK_ROWS + 1), "strategy_id", "block").groupBy("strategy_id", "block", "trade_no").agg((F.sum("units") / 1000000.0).alias("pnl"))
+    falls = perf.max_drawdown(t, ["strategy_id"], F.col("block"), ["trade_no"])
     res = perf.summarise(t, ["strategy_id"]).join(falls, "strategy_id").withColumnRenamed("max_drawdown", "drawdown")
     dims = (table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("s_suppkey").alias("strategy_id"), F.col("n_name").alias("family"), F.col("r_name").alias("timeframe")))

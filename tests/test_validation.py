@@ -130,3 +130,13 @@ def test_garch_recurrence(spark):
             s = var * (1 - a - b) + a * e[i - 1] ** 2 + b * s
         assert abs(got - math.sqrt(s)) < 1e-12
     assert frame(garch(bars(spark, series(100, 14))))["garch_volatility"].isna().all()
+
+
+def test_supplier_results_shuffle_lines_before_summing(spark, monkeypatch):
+    """Lines go to tasks of bounded size at once; a sum of nearly distinct keys before the shuffle would hold a whole split."""
+    from barlab.catalog import validation_and_search as vs
+
+    monkeypatch.setattr(vs, "TASK_ROWS", 500)
+    plan = vs.supplier_results(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    lines = plan[plan.index("RepartitionByExpression") if "RepartitionByExpression" in plan else plan.index("REPARTITION_BY_NUM"):]
+    assert "Aggregate" not in lines[: lines.index("lineitem")]
