@@ -115,6 +115,7 @@ g AS (SELECT strategy_id, count(*)::BIGINT AS replicates, max(CASE WHEN p=floor(
 def _mc(name, fn, resample, order, dp):
     @query(name, "V11", _mc_sql(resample, order, dp))
     def _(spark, sf):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # rows are arrays of 4,096 values
         out = mc.significance(fn(mc.indexed_trades(trades(spark, sf)), REPS))
         return out.select("strategy_id", F.col("replicates").cast("bigint").alias("replicates"), F.col("significant").cast("bigint").alias("significant"),
                           *[fixed(c, dp).alias(c) for c in ("p5", "p50", "p95", "worst_drawdown_95")], fixed("loss_probability").alias("loss_probability"))

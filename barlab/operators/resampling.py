@@ -1,27 +1,30 @@
 """Permutation, bootstrap and noise tests of a trade list as distributed resampling.
 
-Trades are packed once into arrays of ``BLOCK`` positions. Work is dealt in units of one block and a chunk of replicates, whose
-random numbers are drawn as a matrix (replicates x positions):
+Trades are packed once into arrays of ``BLOCK`` positions. No row of a replicate is ever shuffled:
 
-* noise moves the block's own values: no row of a replicate is shuffled;
-* the bootstrap draws positions; the draws of a unit are grouped by the block they point to, each group meets that block in
-  a join and is looked up array to array, and the values come back to their unit;
-* a permutation sorts by a random key: the values of a unit are dealt to key ranges, each of which is sorted by itself.
+* noise moves a block's own values, all replicates one after the other;
+* a strategy of up to ``BIG`` trades is one array, and a task makes all its replicates;
+* a bigger one is dealt in units of some replicates and one part: of the drawn positions (bootstrap) or of the random keys that
+  are sorted by (permutation). Each unit is a task that reads the strategy's blocks as a stream, in any order, and holds
+  ``UNIT`` numbers at most: for the bootstrap those of its own positions and a window of ``UNIT`` source values at a time, for a
+  permutation the values whose key falls into its part. Units meet blocks in a cross join without a shuffle.
 
 A unit ends as one row per replicate: sum, highest, lowest value and deepest fall of its part of the equity curve. These merge in
-order, so no task holds a whole replicate, and a strategy of one block needs no exchange of values at all.
+order, so no task holds a whole replicate of a big strategy.
 
 Random numbers are 32-bit mixes of (seed, test, strategy, replicate) and position, so results do not depend on partitioning
-or retries.
+or retries. A replicate's numbers at its first 2**32 positions are all different, so a permutation has no ties.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,12 @@ from barlab.operators.performance import chain_blocks
 from barlab.session import cut
 
 BLOCK = 4096
-#: Replicates of one unit.
-CHUNK = 64
+#: Replicates that noise draws at a time; small enough for a processor's cache.
+CHUNK = 16
+#: Trades of a strategy from which on units read it as a stream; random numbers that a unit holds, and of those the most of one replicate.
+BIG, UNIT, PART = 1 << 15, 1 << 24, 1 << 23
+#: Trades of the strategies that share a stream.
+SHARED = 1 << 22
 SPREAD = float(1 << 32)
 #: Fixed multipliers of the random numbers.
 MIX, REP, POS = 73244475, 2654435761, 40503
@@ -40,27 +47,37 @@ _SUMMARY = ["total", "high", "low", "fall"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Scatter 32-bit numbers (held in 64 bits)."""
+    """Scatter 32-bit numbers, in place."""
+    t = np.empty_like(x)
     for _ in range(2):
-        x = (x ^ x >> np.uint64(16)) * np.uint64(MIX) & _MASK
-    return x ^ x >> np.uint64(16)
+        x ^= np.right_shift(x, np.uint32(16), out=t)
+        x *= np.uint32(MIX)
+    x ^= np.right_shift(x, np.uint32(16), out=t)
+    return x
 
 
 def salt_of(seed: int, test: str) -> int:
     return zlib.crc32(f"{seed}-{test}".encode())
 
 
+def of_replicates(salt: int, key: int, reps: np.ndarray) -> np.ndarray:
+    return mix((np.uint64(salt) + np.uint64(key) + reps.astype(np.uint64) * np.uint64(REP) & _MASK).astype(np.uint32))
+
+
+def of_positions(positions: np.ndarray) -> np.ndarray:
+    return mix((positions.astype(np.uint64) & _MASK).astype(np.uint32) * np.uint32(POS))
+
+
 def draws(salt: int, key: int, reps: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """32-bit random numbers, replicates x positions."""
-    a = mix(np.uint64(salt) + np.uint64(key) + reps.astype(np.uint64) * np.uint64(REP) & _MASK)
-    b = mix(positions.astype(np.uint64) * np.uint64(POS) & _MASK)
-    return mix(a[:, None] ^ b[None, :])
+    return mix(of_replicates(salt, key, reps)[:, None] ^ of_positions(positions)[None, :])
 
 
 def summary(curve: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sum, highest, lowest value and deepest inner fall of the running sums of each row."""
     run = np.cumsum(curve, axis=1)
-    return run[:, -1], run.max(axis=1), run.min(axis=1), (np.maximum.accumulate(run, axis=1) - run).max(axis=1)
+    total, high, low = run[:, -1].copy(), run.max(axis=1), run.min(axis=1)
+    return total, high, low, np.subtract(np.maximum.accumulate(run, axis=1), run, out=run).max(axis=1)
 
 
 def indexed_trades(trades: DataFrame) -> DataFrame:
@@ -76,24 +93,9 @@ def packed(indexed: DataFrame) -> DataFrame:
     return cut(rows.select("strategy_id", key.alias("key"), "n", "block", F.transform("rows", lambda r: r["pnl"]).alias("pnl")))
 
 
-def _units(blocks: DataFrame, replicates: int) -> DataFrame:
-    """Each block with each chunk of replicates, spread over the cluster."""
-    chunks = F.sequence(F.lit(0), F.lit(-(-replicates // CHUNK) - 1))
-    return blocks.withColumn("chunk", F.explode(chunks)).repartition("strategy_id", "block", "chunk")
-
-
-def _reps(chunk: int, width: int, replicates: int) -> np.ndarray:
-    return np.arange(chunk * width, min(replicates, (chunk + 1) * width))
-
-
-def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(batch.column(c) if c.endswith("pnl") or c in ("cell", "place", "rep_at", "u", "pos") else batch.column(c).to_pylist() for c in columns))
-
-
-def _summaries(strategy, block: int, reps: np.ndarray, curve: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+def _summaries(strategy, block: int, reps: np.ndarray, found: tuple[np.ndarray, ...], kind: pa.DataType) -> pa.RecordBatch:
     n = len(reps)
-    return pa.RecordBatch.from_arrays([pa.array([strategy] * n, kind), pa.array(reps.astype(np.int32)), pa.array(np.full(n, block, np.int32)), *(pa.array(x) for x in summary(curve))], ["strategy_id", "rep", "block", *_SUMMARY])
+    return pa.RecordBatch.from_arrays([pa.array([strategy] * n, kind), pa.array(reps.astype(np.int32)), pa.array(np.full(n, block, np.int32)), *(pa.array(x) for x in found)], ["strategy_id", "rep", "block", *_SUMMARY])
 
 
 def _merged(parts: DataFrame) -> DataFrame:
@@ -115,85 +117,156 @@ def noise(indexed: DataFrame, replicates: int = 1000, seed: int = 42, pct: float
     def run(batches):
         for batch in batches:
             kind = batch.column("strategy_id").type
-            for strategy, key, block, chunk, pnl in _rows([batch], ["strategy_id", "key", "block", "chunk", "pnl"]):
-                value, reps = pnl.values.to_numpy(), _reps(chunk, width, replicates)
-                u = draws(salt, key, reps, block * size + np.arange(len(value))) / SPREAD
-                yield _summaries(strategy, block, reps, value * (1 + (2 * u - 1) * pct), kind)
+            for strategy, key, block, pnl in zip(*(batch.column(c).to_pylist() for c in ("strategy_id", "key", "block")), batch.column("pnl")):
+                value = pnl.values.to_numpy()
+                for first in range(0, replicates, width):
+                    reps = np.arange(first, min(replicates, first + width))
+                    x = draws(salt, key, reps, block * size + np.arange(len(value))) * (2 / SPREAD)
+                    x -= 1
+                    x *= pct
+                    x += 1
+                    x *= value
+                    yield _summaries(strategy, block, reps, summary(x), kind)
 
     blocks = packed(indexed)
-    return _merged(_units(blocks, replicates).mapInArrow(run, _schema(blocks, *_OUT)))
+    return _merged(blocks.repartition("strategy_id", "block").mapInArrow(run, _schema(blocks, *_OUT)))
 
 
-def bootstrap(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Replicates drawn with replacement."""
-    salt, size, width = salt_of(seed, "boot"), BLOCK, CHUNK
+#: Replicates of one unit from (key, n, reps, part, parts, pieces); ``pieces`` are positions in any order, and their values.
+Work = Callable[[int, int, np.ndarray, int, int, Iterator[tuple[np.ndarray, np.ndarray]]], tuple[np.ndarray, ...]]
+
 
-    def ask(batches):
+def _stacked(curves: Iterator[np.ndarray]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*(summary(c[None, :]) for c in curves)))
+
+
+def _resampled(indexed: DataFrame, replicates: int, work: Work) -> DataFrame:
+    """Run ``work`` over all units of all strategies."""
+    size, big, unit_size, part_size = BLOCK, BIG, UNIT, PART
+    blocks = packed(indexed)
+    out_schema = _schema(blocks, *_OUT)
+
+    def whole(batches):
         for batch in batches:
             kind = batch.column("strategy_id").type
-            for strategy, key, n, block, chunk in _rows([batch], ["strategy_id", "key", "n", "block", "chunk"]):
-                own = min(size, n - block * size)
-                pick = (draws(salt, key, _reps(chunk, width, replicates), block * size + np.arange(own)) % np.uint64(n)).astype(np.int64).ravel()
-                order = np.argsort(pick // size, kind="stable")
-                of = pick[order] // size
-                edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x.astype(np.int32)))
-                m = len(edges) - 1
-                yield pa.RecordBatch.from_arrays([pa.array([strategy] * m, kind), pa.array(np.full(m, block, np.int32)), pa.array(np.full(m, chunk, np.int32)), pa.array(np.full(m, own, np.int32)), pa.array(of[edges[:-1]].astype(np.int32)), lists(order), lists(pick[order] % size)],
-                                                 ["strategy_id", "block", "chunk", "own", "source", "cell", "place"])
-
-    def look_up(batches):
-        for batch in batches:
-            found = [pa.array(pnl.values.to_numpy()[place.values.to_numpy()]) for pnl, place in _rows([batch], ["source_pnl", "place"])]
-            edges = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("strategy_id", "block", "chunk", "own", "cell")), pa.ListArray.from_arrays(pa.array(edges), pa.concat_arrays(found) if found else pa.array([], pa.float64()))], ["strategy_id", "block", "chunk", "own", "cell", "value"])
+            for strategy, key, n, pnl in zip(*(batch.column(c).to_pylist() for c in ("strategy_id", "key", "n")), batch.column("pnl")):
+                reps = np.arange(replicates)
+                yield _summaries(strategy, 0, reps, work(key, n, reps, 0, 1, iter([(np.arange(n), pnl.values.to_numpy())])), kind)
+
+    small = blocks.where(F.col("n") <= big).groupBy("strategy_id", "key", "n").agg(F.sort_array(F.collect_list(F.struct("block", "pnl"))).alias("rows"))
+    out = small.select("strategy_id", "key", "n", F.flatten(F.transform("rows", lambda r: r["pnl"])).alias("pnl")).mapInArrow(whole, out_schema)
+
+    def streamed(group: list, parts: int, width: int):
+        chunks = -(-replicates // width)
+
+        def run(batches):
+            head = next(batches, None)
+            if head is None:
+                return
+            at, unit = divmod(head.column("unit")[0].as_py(), chunks * parts)
+            chunk, part = divmod(unit, parts)
+            strategy, key, n = group[at]
+
+            def pieces():
+                for batch in chain([head], batches):
+                    own = batch.filter(pc.equal(batch.column("strategy_id"), strategy))
+                    if own.num_rows:
+                        lengths = pc.list_value_length(own.column("pnl")).to_numpy()
+                        start = own.column("block").to_numpy().astype(np.int64) * size
+                        ends = np.cumsum(lengths)
+                        yield np.repeat(start - (ends - lengths), lengths) + np.arange(ends[-1]), own.column("pnl").flatten().to_numpy()
+
+            reps = np.arange(chunk * width, min(replicates, (chunk + 1) * width))
+            yield _summaries(strategy, part, reps, work(key, n, reps, part, parts, pieces()), head.column("strategy_id").type)
+
+        units = blocks.sparkSession.range(0, len(group) * chunks * parts, 1, len(group) * chunks * parts).withColumnRenamed("id", "unit")
+        values = blocks.where(F.col("strategy_id").isin([g[0] for g in group])).select("strategy_id", "block", "pnl").coalesce(1)
+        return values.hint("shuffle_replicate_nl").crossJoin(units).mapInArrow(run, out_schema)
+
+    many = blocks.where(F.col("n") > big).groupBy("strategy_id", "key", "n").count().orderBy("n", "strategy_id").collect()  # one row per ``BIG`` trades at most
+    group: list = []
+    for i, row in enumerate(many):
+        group.append((row["strategy_id"], row["key"], row["n"]))
+        if i + 1 == len(many) or sum(g[2] for g in group) + many[i + 1]["n"] > SHARED:
+            n = group[-1][2]
+            parts = -(-n // part_size)
+            out = out.unionByName(streamed(group, parts, max(1, unit_size // -(-n // parts))))
+            group = []
+    return _merged(out)
 
-    def gather(group: pa.Table) -> pa.Table:
-        strategy, block, chunk, own = (group.column(c)[0].as_py() for c in ("strategy_id", "block", "chunk", "own"))
-        reps = _reps(chunk, width, replicates)
-        curve = np.empty(len(reps) * own)
-        curve[group.column("cell").combine_chunks().flatten().to_numpy()] = group.column("value").combine_chunks().flatten().to_numpy()
-        return pa.Table.from_batches([_summaries(strategy, block, reps, curve.reshape(len(reps), own), group.schema.field("strategy_id").type)])
 
-    blocks = packed(indexed)
-    asked = _units(blocks.drop("pnl"), replicates).mapInArrow(ask, _schema(blocks, "block int", "chunk int", "own int", "source int", "cell array<int>", "place array<int>"))
-    pool = blocks.select(F.col("strategy_id").alias("of"), F.col("block").alias("source_block"), F.col("pnl").alias("source_pnl"))
-    met = asked.join(pool, (F.col("strategy_id") == F.col("of")) & (F.col("source") == F.col("source_block"))).drop("of", "source_block")
-    values = met.mapInArrow(look_up, _schema(blocks, "block int", "chunk int", "own int", "cell array<int>", "value array<double>"))
-    return _merged(values.groupBy("strategy_id", "block", "chunk").applyInArrow(gather, _schema(blocks, *_OUT)))
+def bootstrap(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Replicates drawn with replacement."""
+    salt, size, window = salt_of(seed, "boot"), BLOCK, PART
+
+    def work(key, n, reps, part, parts, pieces):
+        span = -(-n // parts)
+        b, count = of_positions(np.arange(part * span, min(n, (part + 1) * span))), -(-n // size)
+        pick = np.empty((len(reps), len(b)), np.uint32 if n < 1 << 32 else np.uint64)
+        for row, a in zip(pick, of_replicates(salt, key, reps)):
+            np.remainder(mix(b ^ a), pick.dtype.type(n), out=row)
+        value = np.empty(pick.shape)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def look_up():
+            at, known = (np.concatenate(x) for x in zip(*held))
+            whole = len(known) == n
+            if whole:
+                source = np.empty(n)
+                source[at] = known
+            else:
+                slot = np.full(count, -1, np.int64)
+                first = np.flatnonzero(at % size == 0)
+                slot[at[first] // size] = first
+            for row, to in zip(pick, value):
+                if whole:
+                    np.take(source, row, out=to)
+                else:
+                    found = slot[row // size]
+                    mine = np.flatnonzero(found >= 0)
+                    to[mine] = known[found[mine] + row[mine] % size]
+            held.clear()
+
+        for piece in pieces:
+            held.append(piece)
+            if sum(len(at) for at, _ in held) >= window:
+                look_up()
+        if held:
+            look_up()
+        return _stacked(iter(value))
+
+    return _resampled(indexed, replicates, work)
 
 
 def permutation(indexed: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Replicates in random order: profit is unchanged, drawdown is not."""
-    salt, size, width = salt_of(seed, "perm"), BLOCK, CHUNK
-
-    def deal(batches):
-        for batch in batches:
-            kind = batch.column("strategy_id").type
-            for strategy, key, n, block, chunk, pnl in _rows([batch], ["strategy_id", "key", "n", "block", "chunk", "pnl"]):
-                value, reps = pnl.values.to_numpy(), _reps(chunk, width, replicates)
-                u = draws(salt, key, reps, block * size + np.arange(len(value))).ravel()
-                to = (u / SPREAD * -(-n // size)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                edges = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]])).astype(np.int32)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(edges), pa.array(x))
-                m, at = len(edges) - 1, order % len(value)
-                yield pa.RecordBatch.from_arrays([pa.array([strategy] * m, kind), pa.array(to[order][edges[:-1]].astype(np.int32)), pa.array(np.full(m, chunk, np.int32)), lists((order // len(value)).astype(np.int32)), lists(u[order].astype(np.int64)), lists(block * size + at), lists(value[at])],
-                                                 ["strategy_id", "block", "chunk", "rep_at", "u", "pos", "value"])
-
-    def ordered(group: pa.Table) -> pa.Table:
-        strategy, block, chunk = (group.column(c)[0].as_py() for c in ("strategy_id", "block", "chunk"))
-        rep, u, pos, value = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("rep_at", "u", "pos", "value"))
-        order = np.lexsort((pos, u, rep))
-        rep, value, out = rep[order], value[order], []
-        kind = group.schema.field("strategy_id").type
-        for at, part in zip(np.unique(rep), np.split(value, np.flatnonzero(rep[1:] != rep[:-1]) + 1)):
-            out.append(_summaries(strategy, block, np.array([chunk * width + at]), part[None, :], kind))
-        return pa.Table.from_batches(out)
-
-    blocks = packed(indexed)
-    dealt = _units(blocks, replicates).mapInArrow(deal, _schema(blocks, "block int", "chunk int", "rep_at array<int>", "u array<bigint>", "pos array<bigint>", "value array<double>"))
-    return _merged(dealt.groupBy("strategy_id", "block", "chunk").applyInArrow(ordered, _schema(blocks, *_OUT)))
+    salt = salt_of(seed, "perm")
+
+    def work(key, n, reps, part, parts, pieces):
+        a = of_replicates(salt, key, reps)
+        lo, hi = -(-part * 2**32 // parts), -(-(part + 1) * 2**32 // parts) - 1
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in reps]
+        for at, value in pieces:
+            b = of_positions(at)
+            for r, own in enumerate(held):
+                h = mix(b ^ a[r])
+                if parts > 1:
+                    mine = np.flatnonzero((h >= np.uint32(lo)) & (h <= np.uint32(hi)))
+                    own.append((h[mine], value[mine]))
+                else:
+                    own.append((h, value))
+
+        def curves():
+            for r in range(len(reps)):
+                h, value = (np.concatenate(x) for x in zip(*held[r]))
+                held[r] = []
+                order = h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64)
+                order.sort()
+                yield value[(order & _MASK).astype(np.int64)] if len(h) else np.zeros(1)
+
+        return _stacked(curves())
+
+    return _resampled(indexed, replicates, work)
 
 
 def significance(replicates: DataFrame, confidence: float = 0.95) -> DataFrame:

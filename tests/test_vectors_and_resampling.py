@@ -194,3 +194,19 @@ def test_monte_carlo_replicates_match_plain_python(spark, monkeypatch, block):
                 values = {"perm": lambda: [xs[i] for i in sorted(range(len(xs)), key=lambda i: (h[i], i))], "boot": lambda: [xs[v % len(xs)] for v in h],
                           "noise": lambda: [x * (1 + (2 * v / 2**32 - 1) * 0.1) for x, v in zip(xs, h)]}[test]()
                 assert got[s, r] == pytest.approx(path(values))
+
+
+def test_big_strategies_are_streamed_in_parts(spark, monkeypatch):
+    for name, value in {"BIG": 40, "UNIT": 60, "PART": 30, "SHARED": 60}.items():
+        monkeypatch.setattr(mc, name, value)
+    test_monte_carlo_replicates_match_plain_python(spark, monkeypatch, 16)
+
+
+def test_no_replicate_is_shuffled(spark, monkeypatch):
+    """Values of replicates must not meet an exchange: only sums of blocks and parts may."""
+    idx = mc.indexed_trades(spark.createDataFrame([("some", i, float(i % 7) - 3) for i in range(300)], "strategy_id string, trade_no bigint, pnl double"))
+    for big in (1 << 15, 40):
+        monkeypatch.setattr(mc, "BIG", big)
+        for test in (mc.permutation, mc.bootstrap, mc.noise):
+            plan = test(idx, 20)._jdf.queryExecution().optimizedPlan().toString()
+            assert "value" not in plan and "place" not in plan and "chunk" not in plan
