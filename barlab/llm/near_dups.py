@@ -7,20 +7,22 @@ words changed, about p = (1 - e) ** k of the k-mers stay, J = p / (2 - p) of bot
 with a chance of about J ** ell. Texts that agree on any of ``sketches`` sketches are candidates; with the defaults (k = 3,
 ell = 3, 20 sketches) a pair is missed with a chance of 2e-5 at e = 0.05, 0.015 at 0.1 and 0.18 at 0.15.
 
+A text of at most ``short`` words has too few k-mers for sketches (one edit may leave none), so it gets further keys that miss nothing:
+where one text is t edits from another, one of t + 1 equal parts of the longer one stands in the shorter one, at a place that the
+edits left and right of it allow. The longer text's parts and the shorter one's runs at such places are keys.
+
 Candidates are verified by word-level alignment: a bit-parallel edit distance inside the band that the asked similarity leaves
-(``least``: 1 - edits / words of the longer text). Before texts are fetched, an exact bound throws out hopeless pairs: each word
+(``least``: 1 - edits / words of the longer text). Before texts are aligned, an exact bound throws out hopeless pairs: each word
 flips one of 2048 parity bits, an edit changes two at most.
 
-A bucket (texts with the same sketch) is never paired with itself:
+Every pair of a bucket (texts with the same key) is compared, or known to be of one class, or beyond the bound:
 
-* Pivot rounds. Each bucket that holds several classes sends one text, the one with the smallest number, to all its other
-  texts; what links is one class, and the pivot leaves. Numbers are the same everywhere, so all buckets of a family tend to take the same
-  pivot. A round makes at most one pair per row of a bucket; a text's pair with the smallest of its pivots is verified first.
-* After ``rounds`` rounds, buckets of at most ``small`` texts are finished: their texts of different classes are compared.
-* Texts of bigger buckets are alike, but not alike enough to be one class. They get further, longer sketches (``longer``:
-  (ell, sketches) of each level) and are dealt to buckets anew: what shares twice as many k-mers in order is more alike, so
-  these buckets are smaller by construction. The miss chance of such texts is that of the longer sketches, stated in README.
-* What is still big after the last level goes on with pivots until each bucket is of one class.
+* Each bucket sends one text, the shortest, to all its other texts: one pair per row of a bucket. Numbers are in order of length,
+  so all buckets of a family tend to take the same text, which is the closest one where texts have a passage in common.
+* Buckets that then hold several classes are joined to families where they share texts. A family is cut into blocks of about
+  ``small`` texts of similar length, a class of more texts into blocks of its own, and two blocks meet in one task unless they are
+  of one class or their lengths are too far apart. A task holds two blocks, their pairs are never rows. This part grows with the
+  square of a family of texts that are alike but not of one class.
 
 Texts are known by their md5 throughout, so neither null ids nor ids that several texts share keep a text from the search.
 
@@ -32,10 +34,12 @@ table gives an empty result; only the id and text columns are read, so other col
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +47,6 @@ from barlab.llm import arrays as A
 from barlab.llm.frames import components, fresh, written
 
 _M = np.uint64(0x9FB21C651E98DF25)
-#: A pair of texts and their classes.
-LINK = ["a", "b", "class_a", "class_b"]
 
 
 def labelled_kmers(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def labelled_kmers(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.concatenate([[0], np.cumsum(np.bincount(where, minlength=n))])
 
 
-def sketch(value: np.ndarray, offsets: np.ndarray, sketches: int, ell: int, level: int = 0) -> np.ndarray:
+def sketch(value: np.ndarray, offsets: np.ndarray, sketches: int, ell: int) -> np.ndarray:
     """(texts with k-mers, sketches) keys: the ``ell`` smallest k-mers under each hash, combined in text order."""
     counts = np.diff(offsets)
     full = np.flatnonzero(counts)
@@ -69,7 +71,7 @@ def sketch(value: np.ndarray, offsets: np.ndarray, sketches: int, ell: int, leve
         return out
     top = np.uint64(2**64 - 1)
     for s in range(sketches):
-        odd = np.uint64((0xA0761D6478BD642F * (2 * s + 1) * (2 * s + 3) + 2 * level * 0x8CB92BA72F3D8DD7) % 2**64 | 1)
+        odd = np.uint64((0xA0761D6478BD642F * (2 * s + 1) * (2 * s + 3)) % 2**64 | 1)
         h = value * odd
         h ^= h >> np.uint64(32)
         where = np.empty((ell, len(full)), dtype=np.int64)
@@ -80,20 +82,54 @@ def sketch(value: np.ndarray, offsets: np.ndarray, sketches: int, ell: int, leve
             where[j, owner[::-1]] = hit[::-1]  # the first position of each text
             h[where[j]] = top
         where.sort(axis=0)
-        key = np.full(len(full), s + 1 + 1000 * level, dtype=np.uint64)
+        key = np.full(len(full), s + 1, dtype=np.uint64)
         for j in range(ell):
             key = A.mix(key * _M + value[where[j]])
         out[:, s] = key
     return out
 
 
-def _sketch_rows(batches, k: int, sketches: int, ell: int, level: int):
+def short_keys(words: np.ndarray, short: int, least: float) -> list[int]:
+    """Keys of a text of few words: two texts of ``least`` similarity, the shorter one of at most ``short`` words, share one."""
+    n, out = len(words), set()
+    most = lambda longer: int(longer * (1 - least) + 1e-9)
+    parts = lambda longer: [longer * i // (most(longer) + 1) for i in range(most(longer) + 2)]
+    runs: dict[tuple[int, int], int] = {}
+
+    def key(longer: int, i: int, start: int, size: int) -> int:
+        if (start, size) not in runs:
+            runs[start, size] = hash(tuple(words[start : start + size].tolist()))
+        return hash((longer, i, runs[start, size]))
+
+    if n - most(n) <= short:  # as the longer text
+        cuts = parts(n)
+        out |= {key(n, i, p, q - p) for i, (p, q) in enumerate(zip(cuts, cuts[1:])) if most(n)}
+    if n <= short:
+        longer = n
+        while longer - n <= most(longer) or not most(longer):
+            t, cuts = most(longer), parts(longer)
+            for i, (p, q) in enumerate(zip(cuts, cuts[1:])) if t else ():
+                lo, hi = max(p - i, p + n - longer - (t - i)), min(p + i, p + n - longer + (t - i))
+                out |= {key(longer, i, at, q - p) for at in range(max(lo, 0), min(hi, n - (q - p)) + 1)}
+            longer += 1
+            if longer > 2 * n + 8:
+                break
+    return sorted(out)
+
+
+def _sketch_rows(batches, k: int, sketches: int, ell: int, short: int, least: float):
     for batch in batches:
         for part in A.chunks(batch):
             value, offsets = labelled_kmers(part.column("text"), k)
             full = np.flatnonzero(np.diff(offsets))
-            keys = sketch(value, offsets, sketches, ell, level)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, sketches, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+            keys = list(sketch(value, offsets, sketches, ell).view(np.int64))
+            words, begin = words_of(part.column("text"))
+            for i, d in enumerate(full):
+                if begin[d + 1] - begin[d] <= 2 * short:
+                    more = short_keys(words[begin[d] : begin[d + 1]], short, least)
+                    keys[i] = np.concatenate([keys[i], np.array(more, dtype=np.int64)])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(full)), flat], ["id", "keys"])
 
 
@@ -161,132 +197,147 @@ def _verify(batches, least: float):
             value, offsets = words_of(both)
             n = part.num_rows
             seq = [value[offsets[i] : offsets[i + 1]] for i in range(2 * n)]
-            sim = np.array([similarity(seq[i], seq[n + i], least) for i in range(n)], dtype=float)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in LINK), pa.array(sim)], [*LINK, "sim"])
+            ok = [similarity(seq[i], seq[n + i], least) >= least - 1e-9 for i in range(n)]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 #: Parity bits per text.
 PARITY = 2048
 
 
-def _profiles(batches):
+def parities(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, PARITY) bits: whether an odd number of a text's words falls to a bit."""
+    n = len(offsets) - 1
+    place = np.repeat(np.arange(n), np.diff(offsets)) * PARITY + (value % np.uint64(PARITY)).astype(np.int64)
+    return (np.bincount(place, minlength=n * PARITY) & 1).astype(bool).reshape(n, PARITY)
+
+
+def _numbered(batches):
+    """Texts with a number, their words and parities. Numbers: 17 bits of the number of words, 18 of the partition, 28 of the row."""
+    at = TaskContext.get().partitionId() << 28
     for batch in batches:
         for part in A.chunks(batch):
             value, offsets = words_of(part.column("text"))
             n = np.diff(offsets)
-            place = np.repeat(np.arange(len(n)), n) * PARITY + (value % np.uint64(PARITY)).astype(np.int64)
-            odd = (np.bincount(place, minlength=len(n) * PARITY) & 1).astype(bool)
-            flat = np.packbits(odd).view(np.int64)
+            flat = np.packbits(parities(value, offsets)).view(np.int64)
             bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PARITY // 64, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("no"), pa.array(n.astype(np.int32)), bits], ["no", "n", "bits"])
-
-
-def sketched(rows: DataFrame, id_type: str, k: int, sketches: int, ell: int, level: int) -> DataFrame:
-    """(key, id): the sketches of each text that another text has as well, from (id, text)."""
-    keys = rows.mapInArrow(lambda b: _sketch_rows(b, k, sketches, ell, level), f"id {id_type}, keys array<bigint>")
+            no = (np.minimum(n, 2**17 - 1) << 46) + at + np.arange(len(n))
+            at += len(n)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(no), pa.array(n.astype(np.int32)), bits, part.column("text")], ["id", "no", "n", "bits", "text"])
+
+
+def _meet(table: pa.Table, least: float) -> pa.Table:
+    """Links between the texts of two blocks, or inside of one; pairs that a link has put into one class are left out."""
+    table = table.combine_chunks().sort_by("no")
+    value, offsets = words_of(table.column("text").combine_chunks())
+    n, side = np.diff(offsets), table.column("side").to_numpy()
+    sign = 1 - 2 * parities(value, offsets).astype(np.float32)
+    group = table.column("class").to_pylist()
+    left, right = (np.flatnonzero(side == x) for x in (0, 1)) if side.any() else (np.arange(len(n)),) * 2
+    longer = np.maximum(n[left][:, None], n[right][None])
+    most = longer * (1 - least) + 1e-6
+    apart = (PARITY - sign[left] @ sign[right].T) / 2
+    likely = (np.abs(n[left][:, None] - n[right][None]) <= most) & (apart <= 2 * most)
+    if not side.any():
+        likely &= left[:, None] < right[None]
+    i, j = np.nonzero(likely)
+    order = np.argsort(apart[i, j] / longer[i, j], kind="stable")
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for p, q in zip(left[i[order]].tolist(), right[j[order]].tolist()):
+        x, y = root(group[p]), root(group[q])
+        if x != y and similarity(value[offsets[p] : offsets[p + 1]], value[offsets[q] : offsets[q + 1]], least) >= least - 1e-9:
+            up[max(x, y)] = min(x, y)
+            out.append((group[p], group[q]))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def sketched(rows: DataFrame, k: int, sketches: int, ell: int, short: int, least: float) -> DataFrame:
+    """(key, id): the keys of each text that another text has as well, from (id, text)."""
+    keys = rows.mapInArrow(lambda b: _sketch_rows(b, k, sketches, ell, short, least), "id binary, keys array<bigint>")
     exploded = written(keys.select("id", F.explode("keys").alias("key")).distinct())
     shared = written(exploded.groupBy("key").count().where("count > 1").select("key"))
     return written(exploded.join(shared, "key", "left_semi"))
 
 
-class Search:
-    """Links between texts (no, text) and the classes that they make up, as far as buckets have been looked at."""
-
-    def __init__(self, texts: DataFrame, least: float):
-        self.least, self.texts, self.links = least, texts, None
-        self.profile = written(texts.select("no", "text").mapInArrow(_profiles, "no bigint, n int, bits array<bigint>"))
-        self.members = written(texts.select("no", F.col("no").alias("class")))
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Verify pairs (x, y, class_x, class_y) and join the classes of those that link."""
-        swap = F.col("x") > F.col("y")
-        pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
-        pairs = pairs.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("class_x", "class_y").alias("class_a"), pick("class_y", "class_x").alias("class_b")).distinct()
-        side = lambda s: self.profile.select(F.col("no").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-        most = (1 - self.least) * F.greatest("n_a", "n_b") + 1e-6
-        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY // 64)])
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.col("n_a") - F.col("n_b")) <= most) & (apart <= 2 * most))
-        likely = written(likely.select(*LINK))
-        if likely.isEmpty():
-            return
-        left = likely.join(self.texts.select(F.col("no").alias("b"), F.col("text").alias("text_b")), "b")
-        full = left.join(self.texts.select(F.col("no").alias("a"), F.col("text").alias("text_a")), "a").select(*LINK, "text_a", "text_b")
-        least = self.least
-        found = written(full.mapInArrow(lambda b: _verify(b, least), ", ".join(f"{c} bigint" for c in LINK) + ", sim double").where(F.col("sim") >= least - 1e-9))
-        self.links = found if self.links is None else self.links.unionByName(found)
-        if not found.isEmpty():
-            label = components(found.select("class_a", "class_b").distinct(), "class_a", "class_b").select(F.col("id").alias("class"), F.col("component").alias("now"))
-            self.members = written(self.members.join(label, "class", "left").select("no", F.coalesce("now", "class").alias("class")))
-
-    def mixed(self, bucket: DataFrame) -> DataFrame:
-        """Rows (key, no, class) of the buckets that hold several classes, with each bucket's size and pivot."""
-        state = written(bucket.select("key", "no").join(self.members, "no").select("key", "no", "class"))
-        head = state.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size"), F.min("no").alias("pivot"), F.min_by("class", "no").alias("pivot_class"))
-        return written(state.join(written(head.where("lo <> hi").drop("lo", "hi")), "key"))
-
-    def pivot_round(self, state: DataFrame) -> DataFrame:
-        """Compare every bucket's pivot with its texts of other classes; the pivots leave.
-
-        A text is first compared with the smallest of its buckets' pivots; the pairs that this puts into one class need no
-        comparison any more."""
-        met = state.where(F.col("class") != F.col("pivot_class"))
-        least = met.groupBy("no").agg(F.min("pivot").alias("x"), F.min_by("pivot_class", "pivot").alias("class_x"), F.min("class").alias("class_y"))
-        self.compare(least.select("x", F.col("no").alias("y"), "class_x", "class_y"))
-        now = lambda at, name: self.members.select(F.col("no").alias(at), F.col("class").alias(name))
-        tried = least.select(F.col("no").alias("y"), F.col("x"))
-        left = met.select(F.col("pivot").alias("x"), F.col("no").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-        left = left.join(now("x", "class_x"), "x").join(now("y", "class_y"), "y").where("class_x <> class_y")
-        self.compare(left.select("x", "y", "class_x", "class_y"))
-        return self.mixed(state.where(F.col("no") != F.col("pivot")))
-
-    def finish(self, state: DataFrame) -> None:
-        """Compare all texts of different classes in buckets of bounded size."""
-        other = state.select(F.col("key").alias("of"), F.col("no").alias("y"), F.col("class").alias("class_y"))
-        met = state.join(other, (F.col("key") == F.col("of")) & (F.col("class") < F.col("class_y")))
-        self.compare(met.select(F.col("no").alias("x"), "y", F.col("class").alias("class_x"), "class_y"))
+def compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of texts that link."""
+    side = lambda s: texts.select(F.col("no").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+    most = (1 - least) * F.greatest("n_a", "n_b") + 1e-6
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY // 64)])
+    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.col("n_a") - F.col("n_b")) <= most) & (apart <= 2 * most)).select("a", "b"))
+    left = likely.join(texts.select(F.col("no").alias("b"), F.col("text").alias("text_b")), "b")
+    full = left.join(texts.select(F.col("no").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    return written(full.mapInArrow(lambda b: _verify(b, least), "a bigint, b bigint"))
+
+
+def blocks_met(rest: DataFrame, texts: DataFrame, least: float, small: int) -> DataFrame:
+    """(a, b): links between the classes of the texts (no, class, family) of each family."""
+    wide = -math.log(max(least, 0.01)) * 1.001  # lengths of texts that link are at most so far apart
+    rows = written(rest.join(texts.select("no", "n", F.octet_length("text").alias("long")), "no").withColumn("size", F.floor(F.log("n") / wide)))
+    at = ["family", "size", "part"]
+    own = rows.groupBy("family", "size", "class").agg(F.count("*").alias("count")).where(F.col("count") > small).select("family", "size", "class", F.col("class").alias("part"))
+    rows = rows.join(own, ["family", "size", "class"], "left").withColumn("part", F.coalesce("part", F.lit(-1)))
+    counts = rows.groupBy(*at).agg(F.ceil(F.greatest(F.count("*") / small, F.sum("long") / BLOCK_BYTES)).cast("int").alias("blocks"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    counts = written(counts)
+    block = counts.select(*at, "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    x, y = (block.select("family", F.struct("size", "part", "block").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}")) for s in "xy")
+    several = (F.col("lo_x") != F.col("hi_x")) | (F.col("lo_y") != F.col("hi_y")) | (F.col("lo_x") != F.col("lo_y"))
+    tiles = x.join(y, "family").where(several & (F.col("x") <= F.col("y")) & (F.col("y.size") - F.col("x.size") <= 1))
+    tiles = written(tiles.select("family", "x", "y").withColumn("tile", F.monotonically_increasing_id()))
+    ends = F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))
+    sides = tiles.select("family", "tile", F.posexplode(ends).alias("side", "of")).select("family", "tile", "side", "of.*")
+    dealt = rows.join(counts.select(*at, "blocks"), at).withColumn("block", F.pmod(F.xxhash64("no"), "blocks").cast("int"))
+    met = dealt.select("no", "class", *at, "block").join(texts.select("no", "text"), "no").join(sides, [*at, "block"]).select("tile", "side", "no", "class", "text")
+    return written(met.groupBy("tile").applyInArrow(lambda t: _meet(t, least), "a bigint, b bigint").distinct())
+
+
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 1 << 23
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, least: float = 0.8, sketches: int = 20, ell: int = 3,
-                 longer: tuple[tuple[int, int], ...] = ((6, 60), (12, 60)), rounds: int = 1, small: int = 16) -> DataFrame:
-    """(doc_id, class_id, n_links, copy, class_copy): one row per input row, ``copy`` being its text's md5; the class is named by
-    its smallest id and told apart by ``class_copy``, the smallest md5 of its texts. ``n_links`` counts the links of the row's
-    text to different texts that were verified (a link inside a known class is not looked for)."""
+                 rounds: int = 1, small: int = 128, short: int = 20) -> DataFrame:
+    """(doc_id, class_id, n_texts, copy, class_copy): one row per input row, ``copy`` being its text's md5; the class is named by
+    its smallest id and told apart by ``class_copy``, the smallest md5 of its texts. ``n_texts`` counts the different texts of
+    the class."""
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("id", F.unhex(F.md5("text")))
     copies = written(rows.select("doc", "id"))
-    active = sketched(rows.select("id", "text"), "binary", k, sketches, ell, 0)
+    active = sketched(rows.select("id", "text"), k, sketches, ell, short, least)
     found = rows.select("id", "text").dropDuplicates(["id"]).join(active.select("id").distinct(), "id", "left_semi")
-    texts = written(found.withColumn("no", F.monotonically_increasing_id()))  # rows are dealt by md5, so numbers say nothing of ids
-    search = Search(texts, least)
-    bucket = search.mixed(active.join(texts.select("id", "no"), "id"))
-    for level, (ell_of, sketches_of) in enumerate((*longer, (0, 0)), 1):
-        for _ in range(rounds):
-            if bucket.isEmpty():
-                break
-            bucket = search.pivot_round(bucket)
-        if bucket.isEmpty():
-            break
-        search.finish(bucket.where(F.col("size") <= small))
-        rest = written(search.mixed(bucket.where(F.col("size") > small)))
-        if level > len(longer):
-            while not rest.isEmpty():
-                rest = search.pivot_round(rest)
-            break
-        again = texts.select(F.col("no").alias("id"), "text").join(rest.select(F.col("no").alias("id")).distinct(), "id", "left_semi")
-        bucket = search.mixed(sketched(again, "bigint", k, sketches_of, ell_of, level).withColumnRenamed("id", "no"))
-
-    members = search.members.join(texts.select("no", "id"), "no")
+    texts = written(found.mapInArrow(_numbered, "id binary, no bigint, n int, bits array<bigint>, text string"))
+    bucket = written(active.join(texts.select("id", "no"), "id").select("key", "no"))
+    label = links = None
+    for _ in range(rounds):
+        state = written(bucket.join(written(bucket.groupBy("key").agg(F.min("no").alias("pivot"))), "key").where("no <> pivot"))
+        new = compared(state.select(F.col("pivot").alias("a"), F.col("no").alias("b")).distinct(), texts, least)
+        links = new if links is None else links.unionByName(new)
+        label = written(components(links, "a", "b").select(F.col("id").alias("no"), F.col("component").alias("class")))
+        bucket = state.select("key", "no")
+    own = bucket if label is None else bucket.join(label, "no", "left")
+    state = written(own.select("key", "no", (F.lit(None).cast("bigint") if label is None else F.col("class")).alias("class")).withColumn("class", F.coalesce("class", "no")))
+    mixed = state.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("no").alias("lead")).where("lo <> hi").select("key", "lead")
+    mixed = written(state.join(mixed, "key").select("no", "class", "lead").distinct())
+    members = texts.select("id", "no") if label is None else texts.select("id", "no").join(label, "no", "left")
+    members = members.withColumn("class", F.coalesce("class", "no") if label is not None else F.col("no"))
+    if not mixed.isEmpty():
+        family = components(mixed, "lead", "no").select(F.col("id").alias("no"), F.col("component").alias("family"))
+        met = blocks_met(mixed.select("no", "class").distinct().join(family, "no"), texts, least, small)
+        now = components(met, "a", "b").select(F.col("id").alias("class"), F.col("component").alias("now"))
+        members = members.join(now, "class", "left").select("id", "no", F.coalesce("now", "class").alias("class"))
+
     first = written(copies.groupBy("id").agg(F.min("doc").alias("doc")).join(members, "id", "left").select("id", "doc", "no", "class"))
     # a text outside the search is a class of its own; others are told apart by the numbers of their classes
-    alone = first.where("no is null").select("id", F.col("doc").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("class_copy"))
-    names = written(first.where("no is not null").groupBy("class").agg(F.min("doc").alias("class_id"), F.min("id").alias("class_copy")))
-    named = first.where("no is not null").join(names, "class")
-    if search.links is not None:
-        degree = search.links.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count("*").alias("n_links"))
-        named = named.join(degree, "no", "left")
-    else:
-        named = named.withColumn("n_links", F.lit(None).cast("bigint"))
-    texts = written(named.select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "class_copy").unionByName(alone))
-    return copies.join(texts, "id").select(F.col("doc").alias(id_col), "class_id", "n_links", F.col("id").alias("copy"), "class_copy")
+    alone = first.where("no is null").select("id", F.col("doc").alias("class_id"), F.lit(1).cast("bigint").alias("n_texts"), F.col("id").alias("class_copy"))
+    names = written(first.where("no is not null").groupBy("class").agg(F.min("doc").alias("class_id"), F.count("*").alias("n_texts"), F.min("id").alias("class_copy")))
+    named = first.where("no is not null").join(names, "class").select("id", "class_id", "n_texts", "class_copy")
+    return copies.join(written(named.unionByName(alone)), "id").select(F.col("doc").alias(id_col), "class_id", "n_texts", F.col("id").alias("copy"), "class_copy")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

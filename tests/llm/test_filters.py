@@ -331,3 +331,30 @@ def test_words_do_not_cross_documents():
     data, offsets = A.texts_of(pa.array(["ab", "cd e", None, "f"]))
     start, end, doc = A.word_spans(data, offsets)
     assert [bytes(data[a:b]) for a, b in zip(start, end)] == [b"ab", b"cd", b"e", b"f"] and doc.tolist() == [0, 1, 1, 3]
+
+
+def test_short_texts_that_share_no_run_of_three_words_link(spark):
+    rng, docs = random.Random(31), []  # one edit in the middle of few words: no k-mer stays
+    for i in range(60):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 9))]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: len(words) // 2] + ["x"] + words[len(words) // 2 + 1 :]))]
+    docs += [(900, "a b c d"), (901, "a b c d e"), (902, "a b c"), (903, "q r s t u v w x y z"), (904, "q r 1 t u v w 2 y z")]
+    want = classes_by_hand(docs)
+    assert (901, 900) in want and (904, 903) in want and (902, 902) in want
+    assert Counter((r.doc_id, r.class_id) for r in near_dups.near_classes(frame(spark, docs)).collect()) == want
+
+
+def test_every_pair_of_a_big_bucket_is_compared(spark):
+    """Texts with one passage and openings of their own share all buckets; few of the pairs link, and no pivot is one of them."""
+    rng = random.Random(32)
+    passage, docs = [f"p{i}" for i in range(150)], [(0, " ".join(f"p{i}" for i in range(150)))]
+    for i in range(70):
+        own = [f"o{rng.randint(0, 10**6)}" for _ in range(60)]
+        near = [w if rng.random() < 0.5 else f"e{rng.randint(0, 10**6)}" for w in own]
+        docs += [(2 * i + 2, " ".join(own + passage)), (2 * i + 3, " ".join(near + passage))]
+    want = classes_by_hand(docs)
+    assert len({c for _, c in want}) == 71
+    df = frame(spark, docs).repartition(3)
+    for options in ({}, {"small": 10}):
+        got = near_dups.near_classes(df, **options).collect()
+        assert Counter((r.doc_id, r.class_id) for r in got) == want and {r.n_texts for r in got} == {1, 2}
