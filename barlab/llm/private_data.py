@@ -166,13 +166,16 @@ def bit_map(patterns: DataFrame, map_bits: int) -> list[int]:
 
 
 def ordinary(tokens: DataFrame, patterns: DataFrame, map_bits: int) -> DataFrame:
-    """(pattern, words): how many different ordinary words stand in each pattern, from (pattern, most).
+    """(pattern, words): how many different ordinary words stand in each pattern, from (pattern, most, first).
 
     A pattern in which more than ``most`` stand is left out. That shows in few texts for most of them, so slices of
     the texts are gone through one after the other, each with the patterns that the ones before have left; every text counts.
+    Once more than ``first`` stand in every pattern, none can be accepted in the first round, so none ever is: all are left out.
     """
-    pairs = None
+    pairs, patterns = None, patterns.withColumn("words", F.lit(0).cast("bigint"))
     for number in range(len(SLICES)):
+        if patterns.where("words <= first").isEmpty():
+            return patterns.select("pattern", "words").where("false")
         words = bit_map(patterns, map_bits)
         one = tokens.sparkSession.createDataFrame([(0, words)], "one int, bits array<bigint>")  # of at most map_bits / 8 bytes
         rows = tokens.where(F.col("slice") == number).withColumn("one", F.lit(0)).join(F.broadcast(one), "one")
@@ -180,9 +183,7 @@ def ordinary(tokens: DataFrame, patterns: DataFrame, map_bits: int) -> DataFrame
         found = found.join(patterns.select("pattern"), "pattern", "left_semi")
         pairs = written(found if pairs is None else pairs.join(patterns.select("pattern"), "pattern", "left_semi").unionByName(found).distinct())
         counts = pairs.groupBy("pattern").agg(F.count("*").alias("words"))
-        patterns = written(patterns.select("pattern", "most").join(counts, "pattern", "left").withColumn("words", F.coalesce("words", F.lit(0))).where("words <= most"))
-        if patterns.isEmpty():
-            break
+        patterns = written(patterns.select("pattern", "most", "first").join(counts, "pattern", "left").withColumn("words", F.coalesce("words", F.lit(0).cast("bigint"))).where("words <= most"))
     return patterns.select("pattern", "words")
 
 
@@ -226,6 +227,17 @@ def score(edges: DataFrame, against: DataFrame, rounds: int, pattern_least: floa
     return (good, belief) if belief is not None and not belief.isEmpty() else None
 
 
+def limits(edges: DataFrame, pattern_least: float, unknown: float) -> DataFrame:
+    """(pattern, most, first): with more than ``most`` ordinary words a pattern never reaches the threshold, with more than
+    ``first`` not in the first round, where no value is believed yet. Confidence grows with the beliefs, of at most 1 a value."""
+    seeds = edges.groupBy("pattern", "kind").agg(F.count("*").alias("count"))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("count"))), F.lit(0))
+    each = seeds.groupBy("pattern").agg(F.max(F.when(F.col("kind").isNotNull(), F.col("count"))).alias("seeds"), of(F.col("kind").isNotNull()).alias("known"), of(F.col("kind").isNull()).alias("others"))
+    words = lambda weight, against: F.floor(weight / pattern_least + 1e-6 - F.col("known") - against - 1)
+    most = words(F.col("seeds") + F.col("others"), F.col("others") * max(1.0, unknown))
+    return each.select("pattern", most.alias("most"), words(F.col("seeds"), F.col("others") * unknown).alias("first")).where("most >= 0")
+
+
 def discovered(docs: DataFrame, least_seeds: int = 3, rounds: int = 4, pattern_least: float = 0.6, value_least: float = 0.8, unknown: float = 0.5, map_bits: int = 1 << 27) -> DataFrame | None:
     """(id, th, added): spans (kind, start, end) of identifiers found by context alone in rows (id, th, text); None without any."""
     tokens = written(tokens_of(docs), "slice")
@@ -237,9 +249,7 @@ def discovered(docs: DataFrame, least_seeds: int = 3, rounds: int = 4, pattern_l
     if useful.isEmpty():
         return None
     edges = written(edges.join(useful, "pattern", "left_semi"))
-    # a pattern's values weigh 1 each at most: with more ordinary words than this it cannot reach the threshold
-    most = written(edges.groupBy("pattern").agg((F.count("*") / pattern_least).cast("bigint").alias("most")))
-    told = score(edges, written(ordinary(tokens, most, map_bits)), rounds, pattern_least, value_least, unknown)
+    told = score(edges, written(ordinary(tokens, written(limits(edges, pattern_least, unknown)), map_bits)), rounds, pattern_least, value_least, unknown)
     if told is None:
         return None
     patterns, values = told

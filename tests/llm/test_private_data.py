@@ -105,3 +105,17 @@ def test_prefix_sums_of_long_arrays(spark):
     df = spark.range(1).select(F.sequence(F.lit(1), F.lit(1000)).alias("a"))
     got = df.select(private_data.before_each(F.transform("a", lambda x: x.cast("int"))).alias("s")).first().s
     assert got == [sum(range(1, i)) for i in range(1, 1001)]
+
+
+def test_texts_are_not_searched_for_contexts_that_cannot_be_accepted(spark, monkeypatch):
+    """As many numbers as seeds in a context speak against it whatever else stands there; every place of the limits counts."""
+    asked, real = [], private_data.bit_map
+    monkeypatch.setattr(private_data, "bit_map", lambda *a: asked.append(1) or real(*a))
+    even = [(i, f"lorem send to box: {f'p{i}@q{i}.org' if i % 2 else f'k{i}00000'} at once dolor") for i in range(8)]
+    assert sum(r.n_added for r in private_data.find(spark.createDataFrame(even, "doc_id bigint, text string")).collect()) == 0 and not asked
+    edges = [(s, v, "email" if v < e else "ip" if v < e + i else None) for s, (e, i, o) in enumerate((e, i, o) for e in range(1, 6) for i in range(3) for o in range(4)) for v in range(e + i + o)]
+    got = {r.pattern: r for r in private_data.limits(spark.createDataFrame(edges, "pattern int, value int, kind string"), 0.6, 0.5).collect()}
+    for s, (e, i, o) in enumerate((e, i, o) for e in range(1, 6) for i in range(3) for o in range(4)):
+        share = lambda words, gain: (max(e, i) + gain) / (e + i + words + max(gain, 0.5 * o) + 1)
+        most, first = (sum(share(w, g) >= 0.6 - 1e-9 for w in range(99)) - 1 for g in (o, 0))
+        assert (s in got) == (most >= 0) and (s not in got or got[s].most == most and max(got[s]["first"], -1) == first)
