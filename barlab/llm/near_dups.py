@@ -12,8 +12,8 @@ where one text is t edits from another, one of t + 1 equal parts of the longer o
 edits left and right of it allow. The longer text's parts and the shorter one's runs at such places are keys.
 
 Candidates are verified by word-level alignment: a bit-parallel edit distance inside the band that the asked similarity leaves
-(``least``: 1 - edits / words of the longer text). Before texts are aligned, an exact bound throws out hopeless pairs: each word
-flips one of 2048 parity bits, an edit changes two at most.
+(``least``: 1 - edits / words of the longer text). Before texts are aligned, an exact bound throws out hopeless pairs: each word,
+labelled with its occurrence number, flips one of 2048 parity bits, an edit changes two at most.
 
 Every pair of a bucket (texts with the same key) is compared, or known to be of one class, or beyond the bound:
 
@@ -206,9 +206,13 @@ PARITY = 2048
 
 
 def parities(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts, PARITY) bits: whether an odd number of a text's words falls to a bit."""
+    """(texts, PARITY) bits: whether an odd number of a text's words falls to a bit. The second "a" of a text is another word
+    than the first, so that repeated words do not cancel; one word more or less still changes one bit."""
     n = len(offsets) - 1
-    place = np.repeat(np.arange(n), np.diff(offsets)) * PARITY + (value % np.uint64(PARITY)).astype(np.int64)
+    where = np.repeat(np.arange(n), np.diff(offsets))
+    times = A.occurrence(value ^ A.mix(where.astype(np.uint64) + np.uint64(1)))
+    labelled = A.mix(value + times.astype(np.uint64) * _M)
+    place = where * PARITY + (labelled % np.uint64(PARITY)).astype(np.int64)
     return (np.bincount(place, minlength=n * PARITY) & 1).astype(bool).reshape(n, PARITY)
 
 

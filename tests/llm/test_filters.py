@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlab.llm import arrays as A
-from barlab.llm import decontaminate, licenses, near_dups, quality
+from barlab.llm import decontaminate, frames, licenses, near_dups, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \n\t ", "one", "a b c d", "x " * 3000, "\n\n#|# éß\n", "same text here for all of us", "same text here for all of us"]
@@ -358,3 +358,47 @@ def test_every_pair_of_a_big_bucket_is_compared(spark):
     for options in ({}, {"small": 10}):
         got = near_dups.near_classes(df, **options).collect()
         assert Counter((r.doc_id, r.class_id) for r in got) == want and {r.n_texts for r in got} == {1, 2}
+
+
+def test_an_edit_changes_two_parities_and_repeated_words_do_not_cancel():
+    rng = random.Random(41)
+    bits = lambda *texts: near_dups.parities(*near_dups.words_of(pa.array([" ".join(t) for t in texts])))
+    for _ in range(300):
+        words = [rng.choice("abcde") for _ in range(rng.randint(1, 60))]
+        at = rng.randrange(len(words))
+        one = words[:at] + rng.choice([[], ["z"], [words[at], "a"]]) + words[at + 1 :]
+        if one:
+            a, b = bits(words, one)
+            assert (a != b).sum() <= 2
+    a, b = bits(["a"] * 60 + ["x", "y"], ["b"] * 60 + ["x", "y"])
+    assert (a != b).sum() > 100
+
+
+def test_components_do_not_join_all_edges_in_every_round(spark, monkeypatch):
+    rng = random.Random(42)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(6000)] + [(1000 + i, 1001 + i) for i in range(200)]
+    edges += [(2000 + rng.randrange(100), 2100 + rng.randrange(100)) for _ in range(60)] + [(5, 5), (3, 9), (9, 3)]
+    parent = {v: v for e in edges for v in e if e[0] != e[1]}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for x, y in edges:
+        if x != y and root(x) != root(y):
+            parent[max(root(x), root(y))] = min(root(x), root(y))
+    df = frame(spark, edges, "a bigint, b bigint")
+    joined, join = [], type(df).join
+
+    def counted(self, *args, **kwargs):
+        out = join(self, *args, **kwargs)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "join", counted)
+    got = {r.id: r.component for r in frames.components(df, "a", "b").collect()}
+    assert got == {v: root(v) for v in parent}
+    pairs = len({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    assert sum(joined) <= 2 * pairs + 20 * len(parent)
+    assert frames.components(df.where("a < 0"), "a", "b").count() == 0
