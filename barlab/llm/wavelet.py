@@ -31,6 +31,8 @@ MAGIC = b"WMX1"
 BLOCK = 512
 #: Distinct words whose ids a task remembers before it starts anew (some 40 bytes each).
 MEMO_WORDS = 3_000_000
+#: Code points of a text that tell ranges of equal ids apart; samples of them go through the driver.
+HEAD_CHARS = 256
 
 
 class WaveletMatrix:
@@ -360,17 +362,17 @@ def _pack_partition(batches, path: str, end_id: int, levels: int, file_tokens: i
 
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, levels: int | None = None, file_tokens: int = 2_000_000, partition_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Table (part, number, n_tokens, payload) of files in ascending (id, text hash, text) order. ``levels`` bits hold every id
+    """Table (part, number, n_tokens, payload) of files in ascending (id, text) order. ``levels`` bits hold every id
     (by default as many as the vocabulary needs)."""
     from tokenizers import Tokenizer
     need = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id, 1).bit_length()
     if levels is not None and levels < need:
         raise ValueError(f"{levels} levels cannot hold ids of {need} bits")
     levels = levels or need
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # rows of one id (null ids above all) are dealt by their texts as well
-    ranged = rows.repartitionByRange(max(1, -(-total // partition_bytes)), "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
+    # rows of one id (null ids above all) are dealt by the heads of their texts as well, in the order of the texts
+    ranged = rows.repartitionByRange(max(1, -(-total // partition_bytes)), "id", F.substring("text", 1, HEAD_CHARS)).sortWithinPartitions("id", "text")
     return written(ranged.mapInArrow(lambda b: _pack_partition(b, tokenizer, end_id, levels, file_tokens), "part int, number int, n_tokens bigint, payload binary"))
 
 
