@@ -1,6 +1,7 @@
 """Vector table, grid search, exact quantiles, prominent peaks and Monte-Carlo tests against plain Python."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -202,6 +203,35 @@ def test_big_strategies_are_streamed_in_parts(spark, monkeypatch):
     test_monte_carlo_replicates_match_plain_python(spark, monkeypatch, 16)
 
 
+def test_parts_beyond_what_a_unit_holds(spark, monkeypatch):
+    for name, value in {"BIG": 40, "HELD": 60, "UNIT": 60, "PART": 30, "SHARED": 60}.items():
+        monkeypatch.setattr(mc, name, value)
+    test_monte_carlo_replicates_match_plain_python(spark, monkeypatch, 16)
+
+
+def test_lanes_follow_the_curve(monkeypatch):
+    rng = np.random.default_rng(5)
+    for steps, n in ((4, 1), (4, 3), (4, 4), (4, 50), (32, 31), (32, 5000)):
+        monkeypatch.setattr(mc, "STEPS", steps)
+        x = rng.normal(0, 3, n)
+        assert mc.curve(mc.laned(x)) == pytest.approx([v[0] for v in mc.summary(x[None])])
+    x = rng.integers(0, 2**32, 1000, np.uint32)
+    assert (mc.unmix(mc.mix(x.copy())) == x).all()
+
+
+@pytest.mark.parametrize("test", [mc.permutation])
+def test_units_read_the_trades_a_fixed_number_of_times(spark, monkeypatch, test):
+    """The units of a strategy, each of which reads all of its trades, must not grow in number with the trades."""
+    monkeypatch.setattr(mc, "BIG", 40)
+    monkeypatch.setattr(mc, "UNIT", 60)
+    units = []
+    for n in (100, 800):
+        idx = mc.indexed_trades(spark.createDataFrame([("some", i, float(i % 7) - 3) for i in range(n)], "strategy_id string, trade_no bigint, pnl double"))
+        plan = test(idx, 100)._jdf.queryExecution().optimizedPlan().toString()
+        units.append([int(x) for x in re.findall(r"Range \(0, (\d+)", plan)])
+    assert units == [[4], [4]]
+
+
 def test_no_replicate_is_shuffled(spark, monkeypatch):
     """Values of replicates must not meet an exchange: only sums of blocks and parts may."""
     idx = mc.indexed_trades(spark.createDataFrame([("some", i, float(i % 7) - 3) for i in range(300)], "strategy_id string, trade_no bigint, pnl double"))
