@@ -219,7 +219,7 @@ def test_lanes_follow_the_curve(monkeypatch):
     assert (mc.unmix(mc.mix(x.copy())) == x).all()
 
 
-@pytest.mark.parametrize("test", [mc.permutation])
+@pytest.mark.parametrize("test", [mc.permutation, mc.bootstrap])
 def test_units_read_the_trades_a_fixed_number_of_times(spark, monkeypatch, test):
     """The units of a strategy, each of which reads all of its trades, must not grow in number with the trades."""
     monkeypatch.setattr(mc, "BIG", 40)
