@@ -123,6 +123,79 @@ def test_repeats_on_a_host_go_where_markup_is_silent(spark):
     assert pages.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def words(name, n):
+    return " ".join(f"{name}x{j}" for j in range(n))
+
+
+def test_marked_pages_tell_what_repeats_on_unmarked_ones(spark):
+    bar, menu, quoted, copied = words("bar", 12), words("menu", 100), words("quoted", 30), words("copied", 90)
+    marked = "<body><div>{}</div><article><p>{}</p></article><footer>" + words("foot", 9) + "</footer>"
+    rows = [(i, f"http://a.example/{i}", marked.format(bar, words(f"m{i}", 20) + " " + quoted)) for i in range(3)]
+    rows += [(3, "http://a.example/3", f"<body><div>{bar}</div><div>{words('own', 20)}</div><div>{quoted}</div>")]
+    rows += [(i, f"http://b.example/{i}", f"<body><div>{menu}</div><div>{words(f'o{i}', 40)}</div><div>{bar}</div>") for i in range(4, 8)]
+    rows += [(i, f"http://c.example/{i}", f"<body><div>{words(f'd{i}', 9)}</div><div>{copied}</div>") for i in (8, 9)]
+    rows += [(10, "http://d.example/", f"<body><div>{bar}</div>"), (11, "http://e.example/", marked.format(bar, quoted))]
+    want = {i: words(f"m{i}", 20) + " " + quoted for i in range(3)} | {3: words("own", 20) + " " + quoted} | {i: words(f"o{i}", 40) for i in range(4, 8)}
+    want |= {i: words(f"d{i}", 9) + " " + copied for i in (8, 9)} | {10: bar, 11: quoted}
+    for parts in (1, 5):
+        assert {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)).collect()} == want
+
+
+def cut_by_hand(rows, run):
+    """(id, host, text left open or None, text outside of the article, article) of pages to {id: text}."""
+    runs = lambda t: [tuple(w[i : i + run]) for w in [t.split()] for i in range(len(w) - run + 1)]
+    out = {}
+    for host in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == host]
+        loose = {i: text for i, _, text, _, _ in own if text is not None}
+        inside, outside = ({x for r in own if r[2] is None for x in runs(r[k])} for k in (4, 3))
+        pages_of = Counter(x for t in loose.values() for x in set(runs(t)))
+
+        def under(text, which):
+            flags = [False] * len(text.split())
+            for i, x in enumerate(runs(text)):
+                if x in which:
+                    flags[i : i + run] = [True] * run
+            return flags
+
+        repeated = {x for x, n in pages_of.items() if n > 1 or x in inside or x in outside}
+        has_own = [i for i, t in loose.items() if "0" * run in "".join("01"[f] for f in under(t, repeated))]
+        n = Counter(x for i in has_own for x in set(runs(loose[i])))
+        many = {x for x in repeated - inside if x in outside or n[x] > 2}
+        pair = {x for x in repeated - inside - many if n[x] == 2}
+        for i, _, text, _, article in own:
+            if text is None:
+                out[i] = article
+                continue
+            sure, both = under(text, many), under(text, many | pair)
+            gone = sure if sum(both) - sum(sure) > len(both) - sum(both) else both
+            out[i] = " ".join(w for w, g in zip(text.split(), gone) if not g)
+    return out
+
+
+def test_repeats_match_brute_force(spark):
+    rng = random.Random(12)
+    seen = Counter()
+    for run in (3, 5):
+        shared = [words(f"s{i}", rng.randint(1, 20)) for i in range(12)]
+        text = lambda i: " ".join(rng.choice([words(f"u{i}.{rng.random()}", rng.randint(0, 12)), *rng.sample(shared, 2)]) for _ in range(rng.randint(0, 5)))
+        rows = []
+        for i in range(160):
+            host = f"h{min(rng.randint(0, 25), rng.randint(0, 25))}.example"
+            if rng.random() < 0.3:
+                rows.append((i, host, None, *(" ".join(text(i).split()) for _ in range(2))))
+            else:
+                base = rng.choice(rows)[2] if i > 20 and rng.random() < 0.2 else None
+                rows.append((i, host, " ".join((base or text(i)).split()), "", ""))
+        html = [(i, f"http://{h}/{i}", f"<body><div>{t}</div>" if t is not None else f"<body><div>{o}</div><main>{a or '<p>x</p>'}</main>") for i, h, t, o, a in rows]
+        rows = [(i, h, t, o, a or "x") for i, h, t, o, a in rows]
+        want = cut_by_hand(rows, run)
+        got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(html, "page_id bigint, url string, html string").repartition(3), run=run).collect()}
+        assert got == want
+        seen.update("cut" if want[i] != t else "whole" for i, _, t, _, _ in rows if t)
+    assert min(seen["cut"], seen["whole"]) > 30, seen
+
+
 def docs_for_mix(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 40))), f"s{min(i % 11, 3)}") for i in range(900)] + [(2000 + i, "a b c", None) for i in range(20)] + [(3000, None, "empty"), (None, "x y", ""), (4000, "again here", "s0"), (4000, "again here", "s0")]
